@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ravelin.llm.distinctive import distinctive_terms, shared_by_few
 from ravelin.llm.encoding import decode_corpus, encode_corpus
 from ravelin.llm.leakage import leak_spans, leaked_items
+from ravelin.llm.near_dup import NearDuplicates
 from ravelin.llm.sql import oracle_sql  # noqa: F401
 from ravelin.llm.term_counts import mark_extremes, term_counts
 
@@ -32,6 +33,14 @@ def p2_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive_terms(_table(spark, sf_dir, "terms"), _table(spark, sf_dir, "documents"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(_table(spark, sf_dir, "documents")).pairs()
+
+
+def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NearDuplicates(_table(spark, sf_dir, "documents")).classes()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -50,4 +59,4 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_weights, p6_ids, p6_round_trip, p7_found, p7_spans)}
+    return {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_weights, p4_found, p4_classes, p6_ids, p6_round_trip, p7_found, p7_spans)}
