@@ -9,6 +9,7 @@ from ravelin.llm.distinctive import distinctive_terms, shared_by_few
 from ravelin.llm.encoding import decode_corpus, encode_corpus
 from ravelin.llm.leakage import leak_spans, leaked_items
 from ravelin.llm.near_dup import NearDuplicates
+from ravelin.llm.quality import not_prose, text_statistics
 from ravelin.llm.sql import oracle_sql  # noqa: F401
 from ravelin.llm.term_counts import mark_extremes, term_counts
 
@@ -41,6 +42,14 @@ def p4_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NearDuplicates(_table(spark, sf_dir, "documents")).classes()
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return not_prose(p5_statistics(spark, sf_dir)).select("doc_id")
+
+
+def p5_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_statistics(_table(spark, sf_dir, "documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(_table(spark, sf_dir, "documents"))
 
@@ -59,4 +68,4 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_weights, p4_found, p4_classes, p6_ids, p6_round_trip, p7_found, p7_spans)}
+    return {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_weights, p4_found, p4_classes, p5_found, p5_statistics, p6_ids, p6_round_trip, p7_found, p7_spans)}
