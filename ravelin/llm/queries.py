@@ -10,6 +10,7 @@ from ravelin.llm.encoding import decode_corpus, encode_corpus
 from ravelin.llm.leakage import leak_spans, leaked_items
 from ravelin.llm.near_dup import NearDuplicates
 from ravelin.llm.quality import not_prose, text_statistics
+from ravelin.llm.spam import spam_pages, spam_share
 from ravelin.llm.sql import oracle_sql  # noqa: F401
 from ravelin.llm.term_counts import mark_extremes, term_counts
 
@@ -67,5 +68,13 @@ def p7_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_spans(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_pages(p8_scores(spark, sf_dir)).select("doc_id")
+
+
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_share(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_weights, p4_found, p4_classes, p5_found, p5_statistics, p6_ids, p6_round_trip, p7_found, p7_spans)}
+    return {f.__name__: f for f in (p1_found, p1_term_counts, p2_found, p2_weights, p4_found, p4_classes, p5_found, p5_statistics, p6_ids, p6_round_trip, p7_found, p7_spans, p8_found, p8_scores)}

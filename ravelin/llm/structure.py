@@ -45,7 +45,7 @@ TOKEN = re.compile(
     r"|[^\W_]+(?:-[^\W_]+)*(?:\.[^\W_]+(?:-[^\W_]+)*)+\.[a-z]{2,12}\b"
     r"|[^\W_]+(?:-[^\W_]+)+\.[a-z]{2,12}\b"
     r"|\d+(?:[.,]\d+)*(?![^\W_])"
-    r"|[^\W_]+"
+    r"|#?[^\W_]+"
     r"|\t| {3,}"
     r"|[^\w\s]+|_+"
 )
@@ -57,8 +57,8 @@ _QUOTES = set("\"'’‘“”„«»()[]-–—*_")
 
 #: Tokens of a segment; a line of twice as many is cut.
 SEGMENT_TOKENS = 24
-#: A word is a keyword of its text if it is there so often and makes up this share of the text's words.
-KEY_COUNT, KEY_SHARE = 5, 0.03
+#: A word is a keyword of its text if it is there so often, makes up this share of the text's words and has so many letters.
+KEY_COUNT, KEY_SHARE, KEY_LETTERS = 5, 0.03, 3
 
 
 def classify(token: str) -> int:
@@ -82,8 +82,8 @@ def classify(token: str) -> int:
     signs = set(token)
     if signs <= {".", "!", "?", "…"} | _QUOTES and signs & {".", "!", "?", "…"}:
         return END if len(token) <= 4 else SYMBOL
-    if token[-1] == "#" and len(token) <= 2:
-        return TAG
+    if head == "#" and token[-1].isalnum():
+        return TAG if any(c.isalpha() for c in token) else NUMBER
     if signs <= {","} | _QUOTES and "," in signs:
         return COMMA
     if signs <= {":", ";"} | _QUOTES and signs & {":", ";"}:
@@ -144,7 +144,9 @@ class Batch:
         return np.bincount(self.segment * n + self.kind, minlength=n * len(self.segment_doc)).reshape(-1, n)
 
 
-def read_texts(texts: Iterable[str | None], segment_tokens: int = SEGMENT_TOKENS) -> Batch:
+def read_texts(
+    texts: Iterable[str | None], segment_tokens: int = SEGMENT_TOKENS, key_count: int = KEY_COUNT, key_share: float = KEY_SHARE
+) -> Batch:
     """Tokens, classes and segments of ``texts``. A segment is some whole lines or a piece of a long line."""
     if len(_seen.number) > _Tokens.MOST:
         _seen.clear()
@@ -200,10 +202,10 @@ def read_texts(texts: Iterable[str | None], segment_tokens: int = SEGMENT_TOKENS
     segment = np.repeat(np.arange(len(cuts)), np.diff(np.array([0, *cuts])))
     if len(number):
         words = np.bincount(doc[kind <= ODD], minlength=len(ends))
-        content = np.flatnonzero((kind == WORD) | (kind == MIXED) | (kind == ODD))
+        content = np.flatnonzero(((kind == WORD) | (kind == MIXED) | (kind == ODD)) & (sizes[number] >= KEY_LETTERS))
         _, place, count = np.unique(doc[content] * np.int64(len(kinds)) + lows[number[content]], return_inverse=True, return_counts=True)
         often = count[place]
-        kind[content[(often >= KEY_COUNT) & (often >= KEY_SHARE * words[doc[content]])]] = KEY
+        kind[content[(often >= key_count) & (often >= key_share * words[doc[content]])]] = KEY
     return Batch(kind, sizes[number] if len(number) else number, segment, doc, np.array(segment_docs, np.int64), len(ends), np.array(lines), np.array(ended))
 
 
