@@ -34,8 +34,6 @@ _FUNCTION_WORDS: dict[str, int] = {}
 for _kind, _list in ((DET, DETERMINERS), (PREP, PREPOSITIONS), (CONJ, CONJUNCTIONS), (PRON, PRONOUNS), (AUX, AUXILIARIES)):
     for _word in _list:
         _FUNCTION_WORDS.setdefault(_word, _kind)
-for _letter in "ldnsctmj":  # elided articles and pronouns, as in l'eau
-    _FUNCTION_WORDS.setdefault(_letter, DET)
 
 #: A bracket with nothing but figures, a link, a number, a run of letters and digits, or a run of other signs.
 TOKEN = re.compile(
@@ -45,6 +43,7 @@ TOKEN = re.compile(
     r"|[^\W_]+(?:-[^\W_]+)*(?:\.[^\W_]+(?:-[^\W_]+)*)+\.[a-z]{2,12}\b"
     r"|[^\W_]+(?:-[^\W_]+)+\.[a-z]{2,12}\b"
     r"|\d+(?:[.,]\d+)*(?![^\W_])"
+    r"|(?:[^\W\d_]|[Qq]u)['’](?=[^\W\d_])"
     r"|#?[^\W_]+"
     r"|\t| {3,}"
     r"|[^\w\s]+|_+"
@@ -66,12 +65,15 @@ def classify(token: str) -> int:
     head = token[0]
     if head == "\0":
         return MARK
+    if token[-1] in "'’" and head.isalpha():  # an elided article or pronoun, as in l'eau
+        return DET
     if head.isalnum():
         if token.isalpha():
             kind = _FUNCTION_WORDS.get(token.lower())
             if kind is not None:
                 return kind
-            return ODD if (head.isascii() and _HARD.search(token.lower())) or len(token) > 26 else WORD
+            odd = len(token) > 26 or head.isascii() and (len(token) == 1 or _HARD.search(token.lower()))
+            return ODD if odd else WORD
         if not any(c.isalpha() for c in token):
             return NUMBER
         return LINK if _LINK.match(token) else MIXED
