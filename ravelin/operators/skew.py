@@ -29,6 +29,26 @@ def hot_keys(rows: DataFrame, key: str, min_share_percent: int) -> DataFrame:
     return key_shares(rows, key).filter(F.col("rows") * 100 >= F.col("all_rows") * min_share_percent).select(key, "rows")
 
 
+def join_states(rows: DataFrame, states: DataFrame, key: str, how: str = "inner", hot_percent: int = 1) -> DataFrame:
+    """Join ``rows`` with ``states``, which has at most one row per key, without gathering the rows of a hot key.
+
+    Keys with at least ``hot_percent`` per cent of the rows (no more than 100 / ``hot_percent``) have their states
+    broadcast to where the rows are; the rest is shuffled and has no key above that share. ``how`` is ``inner`` or
+    ``left``; rows with a null key match nothing and aren't shuffled.
+    """
+    if how not in ("inner", "left"):
+        raise ValueError("how must be inner or left")
+    hot = F.broadcast(hot_keys(rows, key, hot_percent).select(key))
+    with_key = rows.filter(F.col(key).isNotNull())
+    frequent = with_key.join(hot, key, "left_semi").join(F.broadcast(states.join(hot, key, "left_semi")), key, how)
+    others = with_key.join(hot, key, "left_anti").join(states.join(hot, key, "left_anti"), key, how)
+    result = frequent.unionByName(others)
+    if how == "left":
+        added = [f for f in states.schema.fields if f.name != key]
+        result = result.unionByName(rows.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added]))
+    return result
+
+
 def top_records(states: DataFrame, key: str, record: str, value: str, k: int, salts: int = 64) -> DataFrame:
     """The ``k`` records of each key with the largest ``value``, on ties the smaller ``record``; adds ``rank`` from 1.
 
