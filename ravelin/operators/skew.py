@@ -6,7 +6,7 @@ a hot key by its records; states of a key meet only after each partition has kep
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +22,7 @@ def key_shares(rows: DataFrame, key: str) -> DataFrame:
 def hot_keys(rows: DataFrame, key: str, min_share_percent: int) -> DataFrame:
     """Keys to which at least ``min_share_percent`` per cent of all rows belong; never more than 100 / that rows.
 
-    An empty input has no hot keys.
+    An empty input has no hot keys. The key column can't be named ``rows`` or ``all_rows``.
     """
     if not 0 < min_share_percent <= 100:
         raise ValueError("min_share_percent must be in 1..100")
@@ -50,13 +50,13 @@ def join_states(rows: DataFrame, states: DataFrame, key: str, how: str = "inner"
 
 
 def top_records(states: DataFrame, key: str, record: str, value: str, k: int, salts: int = 64) -> DataFrame:
-    """The ``k`` records of each key with the largest ``value``, on ties the smaller ``record``; adds ``rank`` from 1.
+    """``key``, ``record``, ``value``, ``rank``: the ``k`` records of each key with the largest ``value``, on ties the smaller ``record``.
 
-    ``states`` has one row per (key, record). A key's records are ranked in ``salts`` groups first, so the last ranking
+    ``states`` has one row per (key, record); its other columns don't pass. ``rank`` counts from 1. A key's records are ranked in ``salts`` groups first, so the last ranking
     sees at most ``salts * k`` rows of a key, however many it has. Null values rank last.
     """
     order = (F.col(value).desc_nulls_last(), F.col(record).asc())
-    salted = states.withColumn("_salt", F.pmod(F.xxhash64(record), F.lit(salts)))
+    salted = states.select(key, record, value).withColumn("_salt", F.pmod(F.xxhash64(record), F.lit(salts)))
     partial = salted.withColumn("rank", F.row_number().over(Window.partitionBy(key, "_salt").orderBy(*order))).filter(F.col("rank") <= k)
     final = partial.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
     return final.filter(F.col("rank") <= k).drop("_salt")
@@ -70,6 +70,9 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, key: str, left_sums:
     result names to columns. Result: ``key``, ``pairs`` and the named sums; null keys join nothing; null values add 0.
     """
 
+    if len({key, "pairs", *left_sums, *right_sums}) < 2 + len(left_sums) + len(right_sums):
+        raise ValueError("names of results must differ")
+
     def state(rows: DataFrame, sums: Mapping[str, str], n: str) -> DataFrame:
         sums_of = [F.coalesce(F.sum(column), F.lit(0)).alias(f"_{n}_{name}") for name, column in sums.items()]
         return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(n), *sums_of)
@@ -83,7 +86,7 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, key: str, left_sums:
     )
 
 
-def top_records_of_hot_keys(stored: DataFrame, states_of, key: str, record: str, value: str, k: int, min_share_percent: int) -> DataFrame:
+def top_records_of_hot_keys(stored: DataFrame, states_of: Callable[[DataFrame], DataFrame], key: str, record: str, value: str, k: int, min_share_percent: int) -> DataFrame:
     """The ``k`` best records of every key with at least ``min_share_percent`` per cent of the stored rows.
 
     Two compact states meet: rows per key (at most 100 / ``min_share_percent`` of them pass, so that side is broadcast)
@@ -93,8 +96,3 @@ def top_records_of_hot_keys(stored: DataFrame, states_of, key: str, record: str,
     hot = hot_keys(stored, key, min_share_percent)
     mine = stored.join(F.broadcast(hot), key, "left_semi")
     return top_records(states_of(mine), key, record, value, k)
-
-
-def rollup_states(states: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
-    """Add up compact states to fewer ``keys``; states of one key are combined before and after the shuffle."""
-    return states.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
