@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 
 from ravelin.llm.structure import BAR, CLASSES, FUNCTION, ODD, PROSE, SKIP, SYMBOL, portions, read_texts
 
-#: A document is a case if more than this share of its characters stands in segments that aren't prose.
-JUNK_SHARE = 0.5
+#: A document is a case if more than this share of its characters stands in segments that aren't prose. A little above a
+#: half, as damaged prose has single segments that look like lists.
+JUNK_SHARE = 0.6
 #: Weight of each neighbour of a segment, and the lead from which on a segment's kind is clear.
 NEIGHBOURS, CLEAR = 0.35, 0.1
 #: Shorter bodies are no case.
