@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ravelin.functions.ranking import B, K1
 from ravelin.operators.indexer import IndexTables
@@ -32,7 +33,8 @@ class SearchApp:
     def run(self, query: str, top_k: int = DEFAULT_K) -> DataFrame:
         """``rank``, ``doc_id``, ``score``, ``title``, ``url``, ``snippet``, best first.
 
-        The request is checked in this order: index, empty query, ``top_k``, then the query itself.
+        The request is checked in this order: index, empty query, ``top_k``, then the query itself. The ``top_k`` ids come
+        to the driver, so that the scan of the documents is filtered by them.
         """
         if self.index is None:
             raise EngineInit("there is no index")
@@ -40,7 +42,10 @@ class SearchApp:
             raise EmptyQuery("the query is empty")
         if top_k <= 0:
             raise InvalidTopK("top_k must be positive")
-        return enrich(search(self.index, query, top_k), self.index.documents)
+        documents = self.index.documents
+        best = [(r["doc_id"], r["score"]) for r in search(self.index, query, top_k).collect()]
+        rows = documents.sparkSession.createDataFrame(best, "doc_id long, score double")
+        return enrich(rows, documents.filter(F.col("doc_id").isin([d for d, _ in best])))
 
 
 def search_with_fallback(index: IndexTables | None, query: str, top_k: int, rebuild: Callable[[str], IndexTables]) -> tuple[list, IndexTables | None]:

@@ -44,36 +44,37 @@ def dense_ids(rows: DataFrame, order: str, name: str, first: Column | int = 1) -
 
 
 def prepare(pages: DataFrame) -> DataFrame:
-    """``ord`` and trimmed ``url``, ``title``, ``body``; null counts as empty; adds ``norm``, the normalised body."""
+    """``ord`` and trimmed ``url``, ``title``, ``body``; null counts as empty."""
     trimmed = [F.coalesce(trim_spaces(F.col(c)), F.lit("")).alias(c) for c in ("url", "title", "body")]
-    return pages.select(F.col("ord").cast("long").alias("ord"), *trimmed).withColumn("norm", normalize_text(F.col("body")))
+    return pages.select(F.col("ord").cast("long").alias("ord"), *trimmed)
 
 
 def outcomes(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """Prepared pages with ``status``; ``existing`` has the ``url`` of documents that are already indexed.
+    """``ord``, ``url``, ``status`` of each page; ``existing`` has the ``url`` of documents that are already indexed.
 
     In this order: an empty url or body is an error; a url that an earlier added page or the index has is a duplicate,
-    whatever its body; a body without words is an error and leaves its url free; everything else is added.
+    whatever its body; a body without words is an error and leaves its url free; everything else is added. Bodies are
+    only looked at in the scan, none is shuffled.
     """
-    rows = prepare(pages)
-    sound = (F.col("url") != "") & (F.col("body") != "")
-    known = rows.filter(sound & (F.col("norm") != "")).groupBy("url").agg(F.min("ord").alias("_first"))
+    has_words = F.col("body").rlike(r"[\p{L}\p{N}]")
+    rows = prepare(pages).select("ord", "url", (F.col("body") != "").alias("_body"), has_words.alias("_words"))
+    known = rows.filter((F.col("url") != "") & F.col("_body") & F.col("_words")).groupBy("url").agg(F.min("ord").alias("_first"))
     if existing is not None:
         old = existing.select("url", F.lit(-(2**63)).cast("long").alias("_first")).distinct()
         known = known.unionByName(old).groupBy("url").agg(F.min("_first").alias("_first"))
     status = (
         F.when(F.col("url") == "", ERR_URL)
-        .when(F.col("body") == "", ERR_BODY)
+        .when(~F.col("_body"), ERR_BODY)
         .when(F.col("_first") < F.col("ord"), DUPLICATE)
-        .when(F.col("norm") == "", ERR_TOKENS)
+        .when(~F.col("_words"), ERR_TOKENS)
         .otherwise(ADDED)
     )
-    return join_states(rows, known, "url", how="left").withColumn("status", status).drop("_first")
+    return join_states(rows, known, "url", how="left").select("ord", "url", status.alias("status"))
 
 
 def outcome_ids(pages: DataFrame, existing: DataFrame | None = None, next_id: int = 1) -> DataFrame:
     """``ord``, ``url``, ``doc_id``, ``status``: the outcome of each page; a duplicate has the id of the document it repeats."""
-    rows = outcomes(pages, existing).select("ord", "url", "status")
+    rows = outcomes(pages, existing)
     added = dense_ids(rows.filter(F.col("status") == ADDED), "ord", "doc_id", next_id).select("url", "doc_id")
     known = added if existing is None else added.unionByName(existing.select("url", "doc_id"))
     joined = join_states(rows, known, "url", how="left")
@@ -111,13 +112,13 @@ def corpus_totals(documents: DataFrame) -> DataFrame:
 
 def build_index(pages: DataFrame) -> IndexTables:
     """The index of pages in order of arrival; document ids are dense from 1. Titles are stored, only bodies are indexed."""
-    return _index_of(outcomes(pages).filter(F.col("status") == ADDED), 1)
+    return _index_of(pages, outcomes(pages), 1)
 
 
 def append(index: IndexTables, pages: DataFrame) -> IndexTables:
     """The index with further pages; urls that it has already are left out, ids go on from ``next_doc_id``."""
     next_id = index.stats.select("next_doc_id").first()["next_doc_id"]
-    new = _index_of(outcomes(pages, index.documents).filter(F.col("status") == ADDED), next_id)
+    new = _index_of(pages, outcomes(pages, index.documents), next_id)
     documents = index.documents.unionByName(new.documents)
     return IndexTables(documents, index.terms.unionByName(new.terms), _stats(documents))
 
@@ -131,8 +132,10 @@ def _stats(documents: DataFrame) -> DataFrame:
     )
 
 
-def _index_of(added: DataFrame, next_id: int) -> IndexTables:
-    numbered = dense_ids(added, "ord", "doc_id", next_id)
+def _index_of(pages: DataFrame, outcome: DataFrame, next_id: int) -> IndexTables:
+    """Texts meet their ids in one join by ``ord``, the only place where they are shuffled."""
+    ids = dense_ids(outcome.filter(F.col("status") == ADDED).select("ord"), "ord", "doc_id", next_id)
+    numbered = prepare(pages).join(ids, "ord").withColumn("norm", normalize_text(F.col("body")))
     documents = numbered.select(
         "doc_id", "url", "title", "body", token_count(F.col("norm")).alias("length"), F.current_timestamp().alias("created_at")
     )

@@ -1,7 +1,8 @@
 """Saved indexes: a folder of numbered versions, each with three Parquet tables, and a pointer to the current one.
 
 A version is written whole before the pointer moves, so a reader never sees half an index and a failed save changes
-nothing. ``terms`` is range-partitioned and sorted by term, so a query reads only the row groups of its terms.
+nothing. ``terms`` is range-partitioned and sorted by term and ``documents`` by id, so a query reads only the row groups of
+its terms and of its best documents.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def save(index: IndexTables, path: str, replace_with_empty: bool = False) -> int
     before = current_version(spark, path)
     version = (before or 0) + 1
     folder = f"{path}/v={version}"
-    index.documents.write.mode("overwrite").parquet(f"{folder}/documents")
+    index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{folder}/documents")
     index.terms.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/terms")
     index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
     if before is not None and not replace_with_empty and _documents(spark, folder) == 0 and _documents(spark, f"{path}/v={before}") > 0:
