@@ -1,7 +1,8 @@
 """Building and extending an index: outcome of every arriving page, dense document ids, term frequencies, totals.
 
 Pages have ``ord`` (unique, the order of arrival), ``url``, ``title``, ``body``. A url that owns many pages doesn't gather
-them in one task: the first valid page of a url is a partial aggregate, joined back with hot urls broadcast.
+them in one task: its first sound page is a partial aggregate, and where every page needs its outcome, that of hot urls is
+broadcast.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ravelin.functions.text import normalize_text, stem, trim_spaces
 from ravelin.operators.skew import join_states
+from ravelin.session import cut_lineage
 
 ADDED, DUPLICATE, ERR_URL, ERR_BODY, ERR_TOKENS = "added", "duplicate", "err_url", "err_body", "err_tokens"
 #: Ids are counted in blocks of so many values of ``ord``: the most rows that one task numbers.
@@ -49,19 +51,28 @@ def prepare(pages: DataFrame) -> DataFrame:
     return pages.select(F.col("ord").cast("long").alias("ord"), *trimmed)
 
 
+def _looked_at(pages: DataFrame) -> DataFrame:
+    """``ord``, ``url`` and whether there is a body and a word in it. Bodies are read in the scan, none is shuffled."""
+    has_words = F.col("body").rlike(r"[\p{L}\p{N}]")
+    return prepare(pages).select("ord", "url", (F.col("body") != "").alias("_body"), has_words.alias("_words"))
+
+
+def added_pages(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``url``, ``ord`` of the pages that are added: of each url the first with a body and a word, unless the index has it."""
+    sound = _looked_at(pages).filter((F.col("url") != "") & F.col("_body") & F.col("_words"))
+    first = sound.groupBy("url").agg(F.min("ord").alias("ord"))
+    return first if existing is None else first.join(existing.select("url"), "url", "left_anti")
+
+
 def outcomes(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """``ord``, ``url``, ``status`` of each page; ``existing`` has the ``url`` of documents that are already indexed.
 
     In this order: an empty url or body is an error; a url that an earlier added page or the index has is a duplicate,
-    whatever its body; a body without words is an error and leaves its url free; everything else is added. Bodies are
-    only looked at in the scan, none is shuffled.
+    whatever its body; a body without words is an error and leaves its url free; everything else is added.
     """
-    has_words = F.col("body").rlike(r"[\p{L}\p{N}]")
-    rows = prepare(pages).select("ord", "url", (F.col("body") != "").alias("_body"), has_words.alias("_words"))
-    known = rows.filter((F.col("url") != "") & F.col("_body") & F.col("_words")).groupBy("url").agg(F.min("ord").alias("_first"))
+    known = added_pages(pages, existing).select("url", F.col("ord").alias("_first"))
     if existing is not None:
-        old = existing.select("url", F.lit(-(2**63)).cast("long").alias("_first")).distinct()
-        known = known.unionByName(old).groupBy("url").agg(F.min("_first").alias("_first"))
+        known = known.unionByName(existing.select("url", F.lit(-(2**63)).cast("long").alias("_first")).distinct())
     status = (
         F.when(F.col("url") == "", ERR_URL)
         .when(~F.col("_body"), ERR_BODY)
@@ -69,13 +80,13 @@ def outcomes(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
         .when(~F.col("_words"), ERR_TOKENS)
         .otherwise(ADDED)
     )
-    return join_states(rows, known, "url", how="left").select("ord", "url", status.alias("status"))
+    return join_states(_looked_at(pages), known, "url", how="left").select("ord", "url", status.alias("status"))
 
 
 def outcome_ids(pages: DataFrame, existing: DataFrame | None = None, next_id: int = 1) -> DataFrame:
     """``ord``, ``url``, ``doc_id``, ``status``: the outcome of each page; a duplicate has the id of the document it repeats."""
     rows = outcomes(pages, existing)
-    added = dense_ids(rows.filter(F.col("status") == ADDED), "ord", "doc_id", next_id).select("url", "doc_id")
+    added = dense_ids(added_pages(pages, existing), "ord", "doc_id", next_id).select("url", "doc_id")
     known = added if existing is None else added.unionByName(existing.select("url", "doc_id"))
     joined = join_states(rows, known, "url", how="left")
     return joined.select("ord", "url", F.when(F.col("status").isin(ADDED, DUPLICATE), F.col("doc_id")).alias("doc_id"), "status")
@@ -112,13 +123,13 @@ def corpus_totals(documents: DataFrame) -> DataFrame:
 
 def build_index(pages: DataFrame) -> IndexTables:
     """The index of pages in order of arrival; document ids are dense from 1. Titles are stored, only bodies are indexed."""
-    return _index_of(pages, outcomes(pages), 1)
+    return _index_of(pages, added_pages(pages), 1)
 
 
 def append(index: IndexTables, pages: DataFrame) -> IndexTables:
     """The index with further pages; urls that it has already are left out, ids go on from ``next_doc_id``."""
     next_id = index.stats.select("next_doc_id").first()["next_doc_id"]
-    new = _index_of(pages, outcomes(pages, index.documents), next_id)
+    new = _index_of(pages, added_pages(pages, index.documents), next_id)
     documents = index.documents.unionByName(new.documents)
     return IndexTables(documents, index.terms.unionByName(new.terms), _stats(documents))
 
@@ -132,9 +143,12 @@ def _stats(documents: DataFrame) -> DataFrame:
     )
 
 
-def _index_of(pages: DataFrame, outcome: DataFrame, next_id: int) -> IndexTables:
-    """Texts meet their ids in one join by ``ord``, the only place where they are shuffled."""
-    ids = dense_ids(outcome.filter(F.col("status") == ADDED).select("ord"), "ord", "doc_id", next_id)
+def _index_of(pages: DataFrame, added: DataFrame, next_id: int) -> IndexTables:
+    """Texts meet their ids in one join by ``ord``, the only place where they are shuffled.
+
+    The ids, 16 bytes a document, are written to the checkpoint folder first, as all three tables begin with them.
+    """
+    ids = cut_lineage(dense_ids(added.select("ord"), "ord", "doc_id", next_id))
     numbered = prepare(pages).join(ids, "ord").withColumn("norm", normalize_text(F.col("body")))
     documents = numbered.select(
         "doc_id", "url", "title", "body", token_count(F.col("norm")).alias("length"), F.current_timestamp().alias("created_at")

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ravelin.app import SearchApp, search, search_with_fallback
-from ravelin.operators.indexer import append, build_index, corpus_totals, dense_ids, document_frequencies, index_counts, outcome_ids
+from ravelin.operators.indexer import IndexTables, append, build_index, corpus_totals, dense_ids, document_frequencies, index_counts, outcome_ids
 from ravelin.operators.parsing import EmptyQuery, EngineInit, InvalidTopK, parse_queries
 from ravelin.operators.retrieval import batch_search, bm25_scores, candidates, document, document_frequency, document_length, enrich, term_frequency
 from ravelin.schemas import PAGES_IN
@@ -39,7 +39,8 @@ def pages(spark):
 
 @pytest.fixture(scope="module")
 def index(pages):
-    return build_index(pages)
+    built = build_index(pages)
+    return IndexTables(built.documents.cache(), built.terms.cache(), built.stats.cache())
 
 
 def test_outcomes(pages):
