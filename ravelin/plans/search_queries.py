@@ -16,7 +16,7 @@ from ravelin.functions.urls import LinkPolicy, canonical_link, is_article
 from ravelin.operators import crawl as crawling
 from ravelin.operators import indexer, retrieval
 from ravelin.operators.parsing import parse_queries
-from ravelin.session import ensure_checkpoint_dir
+from ravelin.session import cut_lineage, ensure_checkpoint_dir
 from ravelin.sources.html import extract
 from ravelin.sources.store import load, save
 
@@ -218,7 +218,7 @@ def extracted_links(spark, sf_dir):
 def page_search(spark, sf_dir):
     """Pages to text to index to ranked answer."""
     pages = extract(html_pages(spark, sf_dir), WIKI).select(F.col("doc_id").alias("ord"), "url", "title", "body")
-    index = indexer.build_index(pages)
+    index = indexer.build_index(cut_lineage(pages))  # parsed once
     best = search(index, "castle of the northern kingdoms", 25)
     return best.select("doc_id", F.round("score", 6).alias("score"))
 
