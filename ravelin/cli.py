@@ -1,4 +1,4 @@
-"""python -m ravelin.cli -q QUERY --index DIR [--web PARQUET]: search an index, building it first where that is needed."""
+"""python -m ravelin.cli -q QUERY --index DIR [--web PARQUET | --live]: search an index, building it first where that is needed."""
 
 from __future__ import annotations
 
@@ -16,8 +16,10 @@ from ravelin.schemas import WEB
 from ravelin.session import build_session
 from ravelin.sources.seed import SeedError, resolve_seed
 from ravelin.sources.store import load, save
+from ravelin.sources.web import live_web
 
-DEFAULT_SEED = "https://en.wikipedia.org/wiki/Information_retrieval"
+# Fixed value: the page to start from where no other is known.
+DEFAULT_SEED = "https://en.wikipedia.org/wiki/Cristiano_Ronaldo"
 DEADLINE_SECONDS = 120
 
 log = logging.getLogger("ravelin")
@@ -61,11 +63,12 @@ def main(argv: Sequence[str] | None = None, get=None) -> int:
     parser = argparse.ArgumentParser(prog="ravelin")
     parser.add_argument("-q", default="", help="query")
     parser.add_argument("-k", type=int, default=10, help="results")
-    parser.add_argument("--reindex", action="store_true", help="crawl and build even if there is an index")
-    parser.add_argument("--body-lines", type=int, default=8)
-    parser.add_argument("--wrap", type=int, default=110)
+    parser.add_argument("-reindex", "--reindex", action="store_true", help="crawl and build even if there is an index")
+    parser.add_argument("-body-lines", "--body-lines", type=int, default=8)
+    parser.add_argument("-wrap", "--wrap", type=int, default=110)
     parser.add_argument("--index", default="index", help="folder of the saved index")
     parser.add_argument("--web", help="Parquet table of recorded pages: url, status, content_type, html")
+    parser.add_argument("--live", action="store_true", help="crawl over the network instead of --web")
     parser.add_argument("--seed", help="page to start from, instead of asking for one")
     args = parser.parse_args(argv)
     spark = build_session()
@@ -85,10 +88,10 @@ def main(argv: Sequence[str] | None = None, get=None) -> int:
             return DEFAULT_SEED
 
     def rebuild(strict: bool) -> IndexTables:
-        if not args.web:
-            raise SeedError("there are no pages to crawl: give --web")
+        if not args.web and not args.live:
+            raise SeedError("there are no pages to crawl: give --web or --live")
         config = CrawlConfig(seed(strict), deadline_seconds=max(0.0, until - time.time()))
-        result = crawl(spark, spark.read.schema(WEB).parquet(args.web), config)
+        result = crawl(spark, live_web if args.live else spark.read.schema(WEB).parquet(args.web), config)
         pages = pages_to_index(result)
         log.info("crawl: %s", result.stats.first().asDict())
         log.info("index: %s", {r["status"]: r["pages"] for r in index_counts(outcomes(pages)).collect()})
@@ -102,7 +105,7 @@ def main(argv: Sequence[str] | None = None, get=None) -> int:
         if not args.q:
             print("The index is ready; ask it with -q")
             return 0
-        if args.web:
+        if args.web or args.live:
             rows, _ = search_with_fallback(index, args.q, args.k, lambda _: rebuild(strict=True))
         else:
             rows = SearchApp(index).run(args.q, args.k).collect()

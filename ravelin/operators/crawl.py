@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from urllib.parse import urlsplit
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ravelin.functions.urls import LinkPolicy
+from ravelin.schemas import WEB
 from ravelin.session import cut_lineage
 from ravelin.sources.html import extract
 from ravelin.sources.web import MAX_BYTES_PER_PAGE, fetched
@@ -104,8 +106,10 @@ def crawl_stats(pages: DataFrame, started: float, finished: float) -> DataFrame:
     )
 
 
-def crawl(spark: SparkSession, web: DataFrame, config: CrawlConfig) -> CrawlResult:
-    """Crawl ``web`` from the seed. Each level is one plan: fetch, extract, explode links, keep the first unseen of each.
+def crawl(spark: SparkSession, web: DataFrame | Callable[[DataFrame], DataFrame], config: CrawlConfig) -> CrawlResult:
+    """Crawl ``web`` from the seed: a table of responses, or a function that gets the responses to a table of urls, as ``live_web``.
+
+    Each level is one plan: fetch, extract, explode links, keep the first unseen of each.
 
     ``max_depth`` + 1 levels at most, each of at most ``max_pages`` pages; what a level found is written to the checkpoint
     folder before the next begins. The seed enters the seen set as it is given. Links of failed pages aren't followed.
@@ -120,7 +124,8 @@ def crawl(spark: SparkSession, web: DataFrame, config: CrawlConfig) -> CrawlResu
             late = True
             break
         batch = admitted(queue, pages_left, config.max_depth).repartition(config.workers)
-        got = fetched(batch, web, config.max_bytes_per_page)
+        responses = web(batch.select("url")) if callable(web) else web
+        got = fetched(batch, responses, config.max_bytes_per_page)
         level = cut_lineage(extract(within_bytes(got, bytes_left), config.policy).drop("html", "slot"))
         pages = level if pages is None else pages.unionByName(level)
         taken = level.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("err").isNull(), F.col("bytes"))), F.lit(0)).alias("b")).first()
@@ -139,7 +144,8 @@ def crawl(spark: SparkSession, web: DataFrame, config: CrawlConfig) -> CrawlResu
             break
         next_ord += n
     if pages is None:
-        pages = extract(fetched(queue.limit(0), web, config.max_bytes_per_page), config.policy).drop("html")
+        nothing = spark.createDataFrame([], WEB)
+        pages = extract(fetched(queue.limit(0), nothing, config.max_bytes_per_page), config.policy).drop("html")
     result = CrawlResult(pages.select("ord", "url", "depth", "status", "bytes", "links", "title", "body", "err"), crawl_stats(pages, started, time.time()))
     if late:
         raise DeadlineExceeded(result)

@@ -1,11 +1,18 @@
-"""Fetching pages: from a table of recorded responses, by the same rules as over the network."""
+"""Fetching pages: from a table of recorded responses or over the network, by the same rules."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.error import HTTPError
+from urllib.request import Request, urlopen
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_BYTES_PER_PAGE = 512 * 1024
+TIMEOUT_SECONDS = 12
+USER_AGENT = "ravelin/0.1"
 
 
 def fetched(requests: DataFrame, web: DataFrame, max_bytes: int = MAX_BYTES_PER_PAGE) -> DataFrame:
@@ -35,3 +42,27 @@ def fetched(requests: DataFrame, web: DataFrame, max_bytes: int = MAX_BYTES_PER_
         F.when(fine, F.when(F.octet_length(html) <= max_bytes, html).otherwise(short)).alias("html"),
         "err",
     )
+
+
+def live_web(urls: DataFrame, max_bytes: int = MAX_BYTES_PER_PAGE, timeout: float = TIMEOUT_SECONDS, user_agent: str = USER_AGENT) -> DataFrame:
+    """Responses (``url``, ``status``, ``content_type``, ``html``) to GET requests for ``url``, one by one in each partition.
+
+    A request that fails without a status has none. No more than ``max_bytes`` of a body are read; bytes that are no UTF-8
+    become U+FFFD. The number of partitions of ``urls`` is the number of workers.
+    """
+
+    def get(url: str) -> tuple[str, int | None, str | None, str | None]:
+        try:
+            with urlopen(Request(url, headers={"User-Agent": user_agent}), timeout=timeout) as r:  # noqa: S310
+                return url, r.status, r.headers.get("Content-Type"), r.read(max_bytes).decode("utf-8", "replace")
+        except HTTPError as e:
+            return url, e.code, e.headers.get("Content-Type"), None
+        except (OSError, ValueError):
+            return url, None, None, None
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = pd.DataFrame([get(u) for u in batch["url"]], columns=["url", "status", "content_type", "html"])
+            yield rows.astype({"status": "Int32"})
+
+    return urls.select("url").mapInPandas(run, "url string, status int, content_type string, html string")

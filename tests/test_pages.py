@@ -1,6 +1,8 @@
 """HTML extraction, links, fetching rules, seeds and crawls over small webs."""
 
 import json
+import threading
+from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from ravelin.operators.crawl import CrawlConfig, DeadlineExceeded, crawl, first_
 from ravelin.schemas import WEB
 from ravelin.sources.html import extract, page_content, page_links
 from ravelin.sources.seed import SeedError, request_url, resolve_seed, seed_of_response
-from ravelin.sources.web import fetched
+from ravelin.sources.web import fetched, live_web
 
 W = "https://en.wikipedia.org/wiki/"
 P = LinkPolicy()
@@ -167,3 +169,29 @@ def test_frontier(spark):
     queue = spark.createDataFrame([("a", 2, 1), ("a", 1, 2), ("b", 1, 3), (None, 0, 0)], "url string, depth int, ord long")
     assert sorted(tuple(r) for r in first_seen(queue).collect()) == [("a", 2, 1), ("b", 1, 3)]
     assert [r.url for r in unseen(queue, spark.createDataFrame([("a",)], "url string")).collect()] == ["b"]
+
+
+def test_live_fetch(spark):
+    class Pages(BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(404 if "lost" in self.path else 200)
+            if "bare" not in self.path:
+                self.send_header("Content-Type", "text/html")
+            self.end_headers()
+            self.wfile.write("<p>é</p>".encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Pages)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        urls = spark.createDataFrame([(base + p,) for p in ("ok", "lost", "bare")] + [("http://127.0.0.1:1/x",), ("no url",)], "url string")
+        got = {r.url.removeprefix(base): (r.status, r.html, r.err) for r in fetched(urls, live_web(urls, 100), 100).collect()}
+    finally:
+        server.shutdown()
+    assert got["ok"] == (200, "<p>é</p>", None)
+    assert got["lost"] == (404, None, "status 404")
+    assert got["bare"] == (200, None, "no content type")
+    assert got["http://127.0.0.1:1/x"][2] == got["no url"][2] == "status unknown"
