@@ -1,12 +1,12 @@
 """Near-duplicate records that differ by small edits, insertions or reordering: Order MinHash and banded alignment.
 
 A record is a sequence of words, its k-mers are ``K`` consecutive words, and equal k-mers of one record are told apart by
-the number of their occurrence. A sketch draws the ``L`` k-mers with the smallest values of one hash function and keeps
-them *in the order of the text*. Two records share a sketch with a probability near the L-th power of the Jaccard
-similarity of their labelled k-mers, times the share of k-mer tuples that stand in the same order; with ``SKETCHES``
-sketches a pair at 0.7 is missed about once in ten million, one whose halves changed places about once in two thousand.
-Records that repeat themselves differ in the numbers of their occurrences though their k-mers are the same, so part of the
-sketches is drawn from first occurrences only.
+the number of their occurrence. A sketch draws the ``L`` k-mers with the smallest values of one hash function. The first
+``ORDERED`` sketches keep them *in the order of the text*, so two records share one with a probability near the L-th power
+of the Jaccard similarity of their labelled k-mers, times the share of k-mer tuples that stand in the same order. What a
+case is depends neither on order nor on repeats, so the other ``FREE`` sketches draw from first occurrences only and keep
+the k-mers in the order of their hash values: a pair at similarity J shares each with a probability near the L-th power of
+J, wherever its passages stand, and at 0.7 has none of them in common about once in twenty million pairs.
 
 Exact copies form one class first, so only different texts meet. Candidate pairs come from equal sketches and are verified
 one by one: an alignment within a narrow band proves most of them, the exact shares of distinct k-mers decide the rest.
@@ -26,8 +26,9 @@ from ravelin.operators.indexer import token_count
 from ravelin.operators.skew import join_states
 from ravelin.session import cut_lineage
 
-#: Words of a k-mer, k-mers of a sketch, sketches of a record, and how many of these take first occurrences only.
-K, L, SKETCHES, FIRST_ONLY = 3, 3, 40, 16
+#: Words of a k-mer, k-mers of a sketch, and sketches of a record that do and don't see the order of its k-mers.
+K, L, ORDERED, FREE = 3, 3, 16, 40
+SKETCHES = ORDERED + FREE
 #: Records of fewer words are never similar to anything.
 MIN_WORDS = 20
 #: Least share, in per cent, of the distinct k-mers of either record that stand in both.
@@ -57,8 +58,8 @@ def _kmers(word: np.ndarray) -> np.ndarray:
     return out
 
 
-def _draw(labelled: np.ndarray, sizes: np.ndarray, numbers: range) -> np.ndarray:
-    """Sketches ``numbers`` of records of ``sizes`` labelled k-mers each, in the order of the text."""
+def _draw(labelled: np.ndarray, sizes: np.ndarray, numbers: range, ordered: bool) -> np.ndarray:
+    """Sketches ``numbers`` of records of ``sizes`` labelled k-mers each, in the order of the text or else of their hash values."""
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     record = np.repeat(np.arange(len(sizes)), sizes)
     out = np.empty((len(sizes), len(numbers)), np.uint64)
@@ -72,8 +73,11 @@ def _draw(labelled: np.ndarray, sizes: np.ndarray, numbers: range) -> np.ndarray
             hits = np.flatnonzero(value == np.repeat(least, sizes))
             _, one = np.unique(record[hits], return_index=True)
             picked[:, pick] = hits[one]
+            if pick and not ordered:  # no k-mer left: the last again, wherever the first stands
+                picked[:, pick] = np.where(least == _FULL, picked[:, pick - 1], picked[:, pick])
             value[picked[:, pick]] = _FULL
-        picked.sort(axis=1)  # back to the order of the text
+        if ordered:
+            picked.sort(axis=1)  # back to the order of the text
         key = np.full(len(sizes), j + 1, np.uint64)
         for pick in range(L):
             key = _mix(key + labelled[picked[:, pick]])
@@ -84,7 +88,7 @@ def _draw(labelled: np.ndarray, sizes: np.ndarray, numbers: range) -> np.ndarray
 def order_sketches(word: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Sketches of several records, one row each: ``word`` has the hashed words of all end to end, ``starts`` where each begins.
 
-    Every record needs at least K words; one of fewer than L k-mers repeats its last in the sketch.
+    Every record needs at least K words; one of fewer than L k-mers repeats one of them in the sketch.
     """
     sizes = np.diff(np.append(starts, len(word)))
     kmer = _kmers(word)
@@ -102,8 +106,8 @@ def order_sketches(word: np.ndarray, starts: np.ndarray) -> np.ndarray:
     label[order] = np.arange(len(order)) - np.repeat(begin, np.diff(np.append(begin, len(order))))
     labelled = _mix(kmer + label * np.uint64(0x9E3779B97F4A7C15))
     firsts = label == 0
-    every = _draw(labelled, sizes, range(SKETCHES - FIRST_ONLY))
-    once = _draw(labelled[firsts], np.bincount(record[firsts], minlength=len(sizes)), range(SKETCHES - FIRST_ONLY, SKETCHES))
+    every = _draw(labelled, sizes, range(ORDERED), ordered=True)
+    once = _draw(labelled[firsts], np.bincount(record[firsts], minlength=len(sizes)), range(ORDERED, SKETCHES), ordered=False)
     return np.concatenate((every, once), axis=1)
 
 
