@@ -8,8 +8,9 @@ case is depends neither on order nor on repeats, so the other ``FREE`` sketches
 the k-mers in the order of their hash values: a pair at similarity J shares each with a probability near the L-th power of
 J, wherever its passages stand, and at 0.7 has none of them in common about once in twenty million pairs.
 
-Exact copies form one class first, so only different texts meet. Candidate pairs come from equal sketches and are verified
-one by one: an alignment within a narrow band proves most of them, the exact shares of distinct k-mers decide the rest.
+Exact copies form one class first, so only different texts meet. Candidate pairs come from equal sketches, however
+many records share one, and are verified one by one: the exact share of distinct k-mers decides, and an alignment within a
+narrow band counts the edits of most.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ MIN_PERCENT = 70
 BAND = 48
 #: Words that are sketched together.
 CHUNK_WORDS = 1_000_000
-#: Buckets of one sketch with more records are joined on a second sketch as well.
+#: Buckets of one sketch with more records are cut into blocks of about so many, and every two blocks meet.
 HOT_BUCKET = 200
 
 _FULL = np.uint64(2**64 - 1)
@@ -147,17 +148,16 @@ def similar(a: np.ndarray, b: np.ndarray, min_percent: int = MIN_PERCENT) -> tup
     """Whether two records reach the similarity, and their edit distance if the alignment has proved it.
 
     One edit changes at most K k-mers of either side. With x distinct k-mers on the larger side and d edits, at least
-    x - K d are in both and at most x + K d in either, so a small d settles the case.
+    x - K d are in both and at most x + K d in either, so the alignment looks for no more edits than prove the case.
     """
     ka, kb = np.unique(_kmers(a)), np.unique(_kmers(b))
     larger = max(len(ka), len(kb))
     if min(len(ka), len(kb)) * 100 < larger * min_percent:
         return False, None
-    edits = edit_distance_within(a, b, min(BAND, larger * (100 - min_percent) // (K * (100 + min_percent))))
-    if edits is not None:
-        return True, edits
     both = len(np.intersect1d(ka, kb, assume_unique=True))
-    return both * 100 >= (len(ka) + len(kb) - both) * min_percent, None
+    if both * 100 < (len(ka) + len(kb) - both) * min_percent:  # cheaper than an alignment that can't succeed
+        return False, None
+    return True, edit_distance_within(a, b, min(BAND, larger * (100 - min_percent) // (K * (100 + min_percent))))
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -230,14 +230,18 @@ class NearDuplicates:
         sizes = drawn.groupBy("j", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         placed = drawn.join(sizes, ["j", "key"])
         small, hot = placed.filter(F.col("size") <= HOT_BUCKET), placed.filter(F.col("size") > HOT_BUCKET)
-        again = self._classes.select("rep", F.posexplode("sketches").alias("j2", "key2"))
-        split = hot.join(again, "rep").filter("j2 != j").select("rep", "j", "key", "j2", "key2")
-
-        def pairs(rows: DataFrame, on: list[str]) -> DataFrame:
-            left, right = rows.select(*on, F.col("rep").alias("a")), rows.select(*on, F.col("rep").alias("b"))
-            return left.join(right, on).filter("a < b").select("a", "b")
-
-        return pairs(small, ["j", "key"]).unionByName(pairs(split, ["j", "key", "j2", "key2"])).distinct()
+        blocks = F.ceil(F.col("size") / HOT_BUCKET).cast("int")
+        blocked = hot.select("rep", "j", "key", (blocks - 1).alias("last"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
+
+        def pairs(left: DataFrame, right: DataFrame, on: list[str], kept: str) -> DataFrame:
+            met = left.withColumnRenamed("rep", "a").join(right.withColumnRenamed("rep", "b"), on).filter(kept)
+            return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+        # blocks x <= y meet in one place (x, y): a record is there as x for its own and all later blocks, as y for all up to its own
+        left = blocked.select("rep", "j", "key", F.col("block").alias("x"), F.explode(F.sequence("block", "last")).alias("y"))
+        right = blocked.select("rep", "j", "key", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"))
+        within = pairs(small.select("rep", "j", "key"), small.select("rep", "j", "key"), ["j", "key"], "a < b")
+        return within.unionByName(pairs(left, right, ["j", "key", "x", "y"], "x < y OR a < b")).distinct()
 
     def _verified(self, candidates: DataFrame) -> DataFrame:
         candidates = cut_lineage(candidates)  # small, and used twice

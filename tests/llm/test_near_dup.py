@@ -90,6 +90,16 @@ def test_hot_bucket_is_split(spark, monkeypatch):
     assert {tuple(r) for r in NearDuplicates(table(spark, rows)).pairs().collect()} == all_pairs(rows) == {(a, b) for b in range(12) for a in range(b)}
 
 
+def test_hot_bucket_is_enough(spark, monkeypatch):
+    """Records whose only common sketch is that of a hot bucket still meet, each pair once."""
+    monkeypatch.setattr(near_dup, "HOT_BUCKET", 3)
+    found = NearDuplicates.__new__(NearDuplicates)
+    rows = [(i, [7, 100 + i]) for i in range(11)] + [(20, [8, 200]), (21, [8, 201]), (30, [300, 7])]
+    found._classes = spark.createDataFrame(rows, "rep long, sketches array<long>")
+    got = [tuple(r) for r in found._candidates().collect()]
+    assert sorted(got) == sorted([(a, b) for b in range(11) for a in range(b)] + [(20, 21)])
+
+
 def test_copies_and_classes(spark):
     text = " ".join(f"w{i}" for i in range(50))
     other = " ".join(f"v{i}" for i in range(50))
