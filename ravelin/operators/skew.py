@@ -89,10 +89,9 @@ def eager_join_aggregate(left: DataFrame, right: DataFrame, key: str, left_sums:
 def top_records_of_hot_keys(stored: DataFrame, states_of: Callable[[DataFrame], DataFrame], key: str, record: str, value: str, k: int, min_share_percent: int) -> DataFrame:
     """The ``k`` best records of every key with at least ``min_share_percent`` per cent of the stored rows.
 
-    Two compact states meet: rows per key (at most 100 / ``min_share_percent`` of them pass, so that side is broadcast)
-    and, from ``states_of(rows)``, one row per (key, record). Rows of other keys are left out before anything is
-    shuffled.
+    Two compact states meet after both are aggregated: rows per key (at most 100 / ``min_share_percent`` of them pass, so
+    that side is broadcast) and, from ``states_of(stored)``, one row per (key, record) of every key.
     """
-    hot = hot_keys(stored, key, min_share_percent)
-    mine = stored.join(F.broadcast(hot), key, "left_semi")
-    return top_records(states_of(mine), key, record, value, k)
+    hot = hot_keys(stored, key, min_share_percent).select(key)
+    # an inner join, as the optimizer would move a semi-join below the aggregation
+    return top_records(states_of(stored).join(F.broadcast(hot), key), key, record, value, k)

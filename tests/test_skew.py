@@ -54,6 +54,19 @@ def test_hot_terms_against_brute_force(spark, seed):
     assert found(spark, rows) == brute(rows, 3, 2)
 
 
+def test_states_of_all_rows_meet_hot_keys(spark):
+    rows, seen = sample(900, 0), []
+    stored = stored_postings(postings(spark, rows))
+
+    def states_of(x):
+        seen.append(x.count())
+        return merge_blocks(clean_postings(x))
+
+    best = top_records_of_hot_keys(stored, states_of, "term", "doc_id", "tf", 3, 2)
+    assert seen == [stored.count()]
+    assert {(r.term, r.doc_id) for r in best.collect()} == brute(rows, 3, 2)
+
+
 def test_all_one_key_and_ties(spark):
     rows = [("a", d, 0, 1) for d in range(500, 0, -1)] * 2
     assert found(spark, rows) == {("a", 1), ("a", 2), ("a", 3)}
