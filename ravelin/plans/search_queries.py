@@ -223,9 +223,15 @@ def page_search(spark, sf_dir):
     return best.select("doc_id", F.round("score", 6).alias("score"))
 
 
+def faulty_web(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made-up web, every document in it; a seventh answers with a bad status or another content type."""
+    status = F.when(F.col("doc_id") % 14 == 6, 404).otherwise(F.col("status"))
+    kind = F.when(F.col("doc_id") % 14 == 13, "application/pdf").otherwise(F.col("content_type"))
+    return html_pages(spark, sf_dir).withColumns({"status": status, "content_type": kind})
+
+
 def _crawled(spark, sf_dir, **limits):
-    web = html_pages(spark, sf_dir).filter("doc_id % 7 != 6")  # pages that aren't there fail
-    return crawling.crawl(spark, web, crawling.CrawlConfig(f"{WIKI.root}P1", max_depth=CRAWL_DEPTH, **limits))
+    return crawling.crawl(spark, faulty_web(spark, sf_dir), crawling.CrawlConfig(f"{WIKI.root}P1", max_depth=CRAWL_DEPTH, **limits))
 
 
 def crawl_bfs(spark, sf_dir):

@@ -36,3 +36,13 @@ def test_query(spark, db, name):
     theirs = pd.DataFrame(result.fetchall(), columns=[c[0] for c in result.description])
     assert sorted(mine.columns) == sorted(theirs.columns)
     assert rows_of(mine) == rows_of(theirs)
+
+
+@pytest.mark.skipif(not SF.exists(), reason="no test tables here")
+def test_failing_pages_are_in_the_web(spark):
+    from ravelin.plans import search_queries as q
+
+    web = q.faulty_web(spark, str(SF))
+    assert web.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+    pages = q._crawled(spark, str(SF), max_pages=q.CRAWL_PAGES).pages
+    assert {"status 404", "content type application/pdf"} <= {r.err for r in pages.select("err").collect()}
