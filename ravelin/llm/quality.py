@@ -1,13 +1,17 @@
 """Per-document text statistics, and which structural profile each stretch of a text is nearest to.
 
-The distribution of function words and other token classes in a segment is compared with profiles of prose in several
-languages and of lists, tables, indexes, logs and other junk, by the Jensen-Shannon divergence. A segment has the kind of
-its nearest profile, a document the kinds of its segments weighted by characters.
+The distribution of function words and other token classes in a segment is compared with profiles of prose and of lists,
+tables, indexes, machine output and other junk, by the Jensen-Shannon divergence. A segment has the kind of its nearest
+profile, a document the kinds of its segments weighted by characters. Profiles of prose come from short samples in four
+languages; one more is of these samples without knowledge of their function words, for all other languages. Profiles of
+structures come from samples drawn at random by the rules that make them what they are.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import random
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -15,118 +19,121 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.llm.structure import BAR, CLASSES, FUNCTION, ODD, PROSE, SKIP, SYMBOL, portions, read_texts
+from ravelin.llm.structure import BAR, CLASSES, CLOSE, FUNCTION, MID, NUMBER, ODD, PROSE, SHORT, SHORT_LETTERS, SKIP, SYMBOL, WORD, Batch, portions, read_texts
 
-#: A document is a case if more than this share of its characters stands in segments that aren't prose. A little above a
-#: half, as damaged prose has single segments that look like lists.
-JUNK_SHARE = 0.6
+#: A document is a case if more than this share of its characters stands in segments that aren't prose.
+JUNK_SHARE = 0.5
 #: Weight of each neighbour of a segment, and the lead from which on a segment's kind is clear.
 NEIGHBOURS, CLEAR = 0.35, 0.1
 #: Shorter bodies are no case.
 MIN_CHARS = 10
 
-# Samples of what isn't prose, from which its profiles come.
-STRUCTURES = {
-    "list": """- green valley of Morton
-- Anders Holm (1819)
-- Karl, Peter: stone bridges, Malmo 1733
-- silver river and forest, 1958
-- the mill at Norwood
-- Alder castle
-- early map of Denby
-- harvest and rebellion, 1765
-- Olsen trophy
-- Brandt, Keller: northern schools, Lund 1920""",
-    "bullets": """• oak chapel of Lund.
-• Peter Holm (1819).
-• Berg, Maurer: coastal schools, Malmo 1733.
-• river and mill, 1704.
-• the market at Norwood.
-• Denby bridge.""",
-    "numbers": """1. Weber and sons, 1790
-2. the abbey at Cluny
-3. royal island of Borgen
-4. Rivera, Soto: coastal towns, Cadiz 1888
-5. Alder castle
-6. Martin Dubois (1603)""",
-    "pairs": """the market at Norwood — eastern voyage of Denby
-Alder castle — wooden coast of Lund
-Peter Holm (1819) — Berg, Maurer: coastal schools, Malmo 1733
-river and mill, 1704 — royal bridge of Borgen""",
-    "entries": """1. copper mine; 2. oak chapel, 1704; 3. Weber and sons; 4. old market of Trier; 5. lake and island; 6. the abbey at
-Cluny; 7. Martin Dubois (1603); 8. iron bridge; 9. Rivera, Soto: coastal towns, Cadiz 1888; 10. blue heron""",
-    "table": """Region, Harbour, Bridge, Tower
-Alten, Morris Cole, 97.66, 1875
-Borgen, Helen Park, 59.25, 1942
-Carden, Simon Hale, 33.54, 1701
-Dalen, Laura Finch, 12.80, 1966""",
-    "figures": """River 1403 1859 1546 1897
-Canal 63,686 54,672 71,330 97.45
-Alten 8.53 33,125 1806 5.69
-Borgen 97,048 13,871 1602 10.20""",
-    "columns": """Name | Area | Founded | Kind
-Alten | 36.65 | 1598 | harbour
-Borgen | 84.88 | 1911 | village
-Carden | 20.33 | 1736 | market""",
-    "index": """harbour, 52, 63–65, 394
-season, 45, 67–96, 918
-castle of Alten, 30, 18–11, 171
-journal, 2, 34–20, 748""",
-    "contents": """the bridge of Alten ........ 804
-the castle of Borgen ........ 324
-the market of Carden ........ 675
-an island of Dalen ........ 12""",
-    "name and value": """height of tower: 71.41
-length of bridge: 90.6
-Founded: 1745
-Area of lake: 24.9
-River: silver mill of Norwood
-Castle: Peter Holm (1623)""",
-    "log": """[12:40:19] WARN LOADER code=638 at 0x545da88a726111
-[12:40:25] INFO READER code=228 at 0xa5155d721ef88
-[12:41:02] TRACE CACHE code=531 at 0xf6dcf17aa99""",
-    "signs": "------- ~~~ <=> #@% ||| *** [}{] ^^ &&&& ____ >>> %% == +++ \\\\ ## @@ $$ {} ^~ ====== ******",
-    "noise": "eznjwkvkdwm lgwspcmt grhbzpydmc Bctbgqxfmld wmcnqgvhmc rxpcqmtjm. mdbdrsrlm htmdrpnmv cydprpm jlgvkwxdc qwrtzpsdfg hjklxcvbnm",
-    "codes": "r8q726ovosg c9pvp6hk6nd 39ngo5qezhb qam605x2rct bektm54rjaq 2ejfa4afb6n poh5x4f861k oogsj4nz0wh 1bgd83vnsrf",
-    "links": """https://www.alpha-beta.example/one
-http://gamma.test/two/032
-delta-epsilon.invalid/?id=072
-<a href="https://zeta.example/three.html">four five</a>
-Six seven - https://eta.test/eight/9""",
-    "keywords": "cheap shoes buy shoes online shoes sale cheap shoes buy online shoes cheap sale shoes buy shoes online cheap sale shoes",
-    "places": """cheap loans in Alten
-best loans in Alten
-local loans in Borgen
-cheap loans in Borgen
-best loans in Alten
-local loans in Alten
-cheap loans in Borgen""",
-    "pitch": """Looking for shoes? Our outlet shoes are the best shoes for outlet. Buy shoes, outlet and cheap shoes: your outlet shop.
-Looking for outlet? Our shoes outlet is the best outlet for shoes. Cheap shoes are an outlet made for shoes and outlet!""",
-    "tags": """Tags: shoes | outlet | shoes-sale | shoes | sale | outlet
-#shoes #sale #outlet #shoes #shoesSale #outlet #sale #shoes
-Labels: shoes, outlet, sale, shoes-outlet, shoes""",
-    "goods": """Alpha shoes 87 | size L | 71.67 EUR | SKU 39-475 | add to cart
-Alpha shoes 75 | size S | 90.80 EUR | SKU 16-087 | add to cart
-Alpha coat 13 | size S | 67.6 EUR | SKU 50-643 | add to cart
-Alpha coat 47 | size M | 81.40 EUR | SKU 99-314 | add to cart""",
-}
-KINDS = [*PROSE, *STRUCTURES]
-_N = len(PROSE)
+#: Lines of a made-up structure, from which its profile comes, and the seed they are drawn with.
+SAMPLE_LINES, SEED = 120, 20
+#: Kinds of prose: one per sample, and one for languages whose function words aren't known.
+UNKNOWN = "other language"
+
+
+class _Drawn:
+    """Parts of made-up structures, drawn at random."""
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+        words = [w for text in PROSE.values() for w in re.findall(r"[^\W\d_]{5,}", text) if w.islower()]
+        self.words = sorted(set(words))
+        self.running = re.findall(r"[a-z]+", PROSE["en"])
+
+    def word(self) -> str:
+        return self.r.choice(self.words)
+
+    def name(self) -> str:
+        return "".join(self.r.choice("bdfghklmnprstv") + self.r.choice("aeiou") for _ in range(self.r.randint(2, 3))).title() + self.r.choice("nlrst")
+
+    def number(self) -> str:
+        n = self.r.randrange(1, 10 ** self.r.randint(1, 5))
+        return self.r.choice([f"{n}", f"{n}", f"{n:,}", f"{n / 100:.2f}", f"{n}-{n + self.r.randrange(1, 60)}"])
+
+    def entry(self, numbers: float = 0.35, joined: float = 0.3) -> str:
+        """A few words and names, some with a preposition between them, some with a comma or colon, some with a number."""
+        parts = [self.word() if self.r.random() < 0.6 else self.name() for _ in range(self.r.randint(1, 4))]
+        if len(parts) > 1 and self.r.random() < 0.4:
+            parts.insert(self.r.randrange(1, len(parts)), self.r.choice(["of", "at", "and", "in", "the"]))
+        text = "".join(p + (self.r.choice([", ", ": "]) if i and i + 1 < len(parts) and self.r.random() < joined else " ") for i, p in enumerate(parts)).strip()
+        return text + self.r.choice([", {}", " ({})", " {}"]).format(self.number()) if self.r.random() < numbers else text
+
+    def letters(self, alphabet: str, least: int, most: int) -> str:
+        return "".join(self.r.choice(alphabet) for _ in range(self.r.randint(least, most)))
+
+    def link(self) -> str:
+        return self.r.choice(["https://{}.test/{}", "http://www.{}.example/{}.html", "{}.invalid/?q={}"]).format(f"{self.name().lower()}-{self.word()}", self.word())
+
+    def stuffed(self, most: int = 7, filler: float = 0.0, comma: float = 0.0) -> str:
+        """A line of ever the same few words, some with another word of prose or a comma between them."""
+        keys = [self.word() for _ in range(self.r.randint(2, most))]
+        drawn = [self.r.choice(keys) if self.r.random() >= filler else self.r.choice(self.running) for _ in range(24)]
+        return "".join(w + (self.r.choice([", ", ". ", "! "]) if self.r.random() < comma else " ") for w in drawn)
+
+
+def structures(lines: int = SAMPLE_LINES, seed: int = SEED) -> dict[str, str]:
+    """Made-up samples of what isn't prose: parts drawn at random, put together by the rule that makes each kind what it is."""
+    d = _Drawn(seed)
+    r = d.r
+    low, digits = "bcdfghjklmnpqrstvwxz" * 3 + "aeiouy", "0123456789"
+    kinds: dict[str, Callable[[int], str]] = {
+        "list": lambda i: r.choice(["- ", "* ", "• ", f"{i + 1}. ", f"{i + 1}) "]) + d.entry(),
+        "plain list": lambda i: d.entry(),
+        "entries": lambda i: "; ".join(f"{n}. {d.entry()}" for n in range(1, 8)),
+        "pairs": lambda i: d.entry() + r.choice([" — ", " = ", " → "]) + d.entry(),
+        "values": lambda i: d.entry(0) + ": " + d.number(),
+        "fields": lambda i: d.word().title() + ": " + d.entry(),
+        "comma table": lambda i: ", ".join([d.name() + " " + d.name(), *(r.choice([d.number, d.number, d.word])() for _ in range(3))]),
+        "bar table": lambda i: " | ".join([d.name(), *(r.choice([d.number, d.name, d.word])() for _ in range(3))]),
+        "column table": lambda i: r.choice(["\t", "    "]).join([d.entry(0), *(r.choice([d.number, d.name, d.word])() for _ in range(3))]),
+        "figures": lambda i: d.name() + " " + " ".join(d.number() for _ in range(5)),
+        "index": lambda i: d.entry(0) + ", " + ", ".join(d.number() for _ in range(3)),
+        "contents": lambda i: d.entry(0) + " " + "." * r.randint(5, 20) + " " + d.number(),
+        "machine output": lambda i: f"[{d.letters(digits, 2, 2)}:{d.letters(digits, 2, 2)}:{d.letters(digits, 2, 2)}] {d.word().upper()} {d.word()}={d.letters(digits, 2, 4)} 0x{d.letters(digits + 'abcdef', 8, 14)}",
+        "signs": lambda i: " ".join(d.letters("#@%&*=+<>|{}[]^~/-_", 1, 6) for _ in range(8)),
+        "noise": lambda i: " ".join(d.letters(low, 6, 13) for _ in range(8)),
+        "letters": lambda i: " ".join(d.letters(low + "aeiou.,:|'/1", 1, 1) for _ in range(20)),
+        "codes": lambda i: " ".join(d.letters(low + digits * 2, 8, 14) for _ in range(6)),
+        "links": lambda i: d.link(),
+        "anchors": lambda i: f'<a href="{d.link()}">{d.entry(0, 0)}</a>',
+        "keywords": lambda i: d.stuffed(),
+        "stuffed sentences": lambda i: d.stuffed(5, 0.6, 0.15),
+        "keyword list": lambda i: d.stuffed(9, 0.1, 0.4),
+        "hash tags": lambda i: " ".join("#" + d.word() for _ in range(8)),
+        "bar tags": lambda i: " | ".join(d.stuffed().split()),
+    }
+    words, cells = [d.word() for _ in range(3)], [d.word() for _ in range(4)]
+    kinds["goods"] = lambda i: " | ".join([f"{words[0]} {r.choice(words)} {d.number()}", f"{cells[0]} {r.choice('SMLX')}", f"{d.number()} {cells[1]}", f"{cells[2]} {cells[3]}"])
+    kinds["places"] = lambda i: f"{r.choice(words)} {r.choice(cells)} in {r.choice(words).title()}"
+    return {name: "\n".join(line(i) for i in range(lines)) for name, line in kinds.items()}
+
+
+#: Names of the profiles; prose kinds come first.
+KINDS = [*PROSE, UNKNOWN, *structures(1)]
+_N = len(PROSE) + 1
+_USED = np.array([k for k in range(len(CLASSES)) if k not in (MID, CLOSE, SKIP)])  # near repeats tell something, others don't
 
 
 def _shares(table: np.ndarray) -> np.ndarray:
     """Distributions over the classes, smoothed by half a token."""
-    use = np.delete(table, SKIP, axis=1) + 0.5 / (len(CLASSES) - 1)
+    use = table.astype(float)
+    use[:, WORD] += use[:, MID] + use[:, CLOSE]
+    use = use[:, _USED] + 0.5 / len(_USED)
     return use / use.sum(axis=1, keepdims=True)
 
 
 @lru_cache(maxsize=1)
 def profiles() -> np.ndarray:
-    """One distribution per kind; prose kinds come first."""
-    texts = [*PROSE.values(), *STRUCTURES.values()]
-    batch = read_texts(texts, 10**9)
-    return _shares(batch.table())
+    """One distribution per kind: of the samples of prose, of all of them as they would look if no function word were known, of structures."""
+    prose = read_texts(PROSE.values(), 10**9)
+    unknown = prose.kind.copy()
+    function = np.isin(unknown, FUNCTION)
+    unknown[function] = np.where(prose.size[function] <= SHORT_LETTERS, SHORT, WORD)
+    strange = np.bincount(unknown, minlength=len(CLASSES))[None, :]
+    return _shares(np.concatenate((prose.table(), strange, read_texts(structures().values(), 10**9).table())))
 
 
 def divergence(shares: np.ndarray, profile: np.ndarray) -> np.ndarray:
@@ -162,10 +169,17 @@ def _ratio(a: np.ndarray, b: np.ndarray) -> pa.Array:
     return pa.array(a / np.maximum(b, 1), mask=b == 0)
 
 
+def of_prose(batch: Batch, least: float = 0.9) -> np.ndarray:
+    """Whether each segment of a batch is of a text of which at least so large a share is prose."""
+    weight = batch.by_segment(batch.size)
+    prose = batch.by_doc(weight * ~nearest(batch.table(), batch.segment_doc)[2])
+    return (prose >= least * batch.by_doc(weight))[batch.segment_doc]
+
+
 def _measure(texts: list[str | None]) -> list[pa.Array]:
     batch = read_texts(texts)
     docs, kind, size, doc = batch.docs, batch.kind, batch.size, batch.doc
-    word = kind <= ODD
+    word = (kind <= ODD) & (kind != NUMBER)
     words = np.bincount(doc[word], minlength=docs)
     letters = np.bincount(doc, size * word, docs)
     marks = np.bincount(doc, size * np.isin(kind, (SYMBOL, BAR)), docs)

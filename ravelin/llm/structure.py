@@ -2,6 +2,9 @@
 
 Used by the operators that tell prose from lists, tables, junk and spam. A whole batch of texts becomes one array of
 token classes with the bounds of segments and documents, so everything after the tokeniser is array arithmetic.
+
+Function words are known for four languages. In others they are unknown words of three letters or fewer, mostly, which
+have a class of their own (``SHORT``). A longer word has a class by how near the same word stands before or after it.
 """
 
 from __future__ import annotations
@@ -14,20 +17,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Common function words of four languages, by kind.
+# Closed word classes of four languages.
 DETERMINERS = """the a an this that these those some any each every no le la les un une des du au aux ce cette ces son sa ses
 der die das den dem des ein eine einen einem einer eines kein diese el los las una unos lo al del este esta su sus""".split()
 PREPOSITIONS = """of in to by for on with at from into under over between during after before near until through about as
 de à dans par pour sur avec en entre sous depuis vers chez von zu im am zum zur mit bei nach aus auf an durch für
 zwischen seit über unter vor con por para sobre desde hasta según""".split()
 CONJUNCTIONS = "and or but nor if because though which who when where while than et ou mais que qui où und oder aber dass wenn y e o pero ni".split()
-PRONOUNS = "it he she they we you i his her its their your our us il elle on nous vous ils y se er sie es wir ihr sich man él ella ellos nos not never also there here ne pas nicht nie dort hier oft heute no aussi también".split()
-AUXILIARIES = """is are was were be been being has had have do does did will would can could may might must should became
-remained est sont était fut ont a été avait être peut ist sind war wurde wurden worden werden hat haben hatte kann blieb liegt
-es son fue era había sido ha han está ser hay""".split()
+PRONOUNS = """it he she they we you i his her its their your our us il elle on nous vous ils y se er sie es wir ihr sich man él
+ella ellos nos not ne pas nicht there also no aussi auch también""".split()
+AUXILIARIES = """is are was were be been being has had have do does did will would can could may might must should est sont était
+fut ont a été avait être peut ist sind war wurde wurden worden werden hat haben hatte kann es son fue era había sido ha han
+está ser hay""".split()
 
-CLASSES = "DET PREP CONJ PRON AUX WORD KEY NUMBER MIXED ODD LINK TAG END COMMA COLON BAR SYMBOL MARK SKIP".split()
-DET, PREP, CONJ, PRON, AUX, WORD, KEY, NUMBER, MIXED, ODD, LINK, TAG, END, COMMA, COLON, BAR, SYMBOL, MARK, SKIP = range(len(CLASSES))
+CLASSES = "DET PREP CONJ PRON AUX SHORT WORD MID CLOSE NEAR NUMBER MIXED ODD LINK TAG END COMMA COLON BAR SYMBOL MARK SKIP".split()
+DET, PREP, CONJ, PRON, AUX, SHORT, WORD, MID, CLOSE, NEAR, NUMBER, MIXED, ODD, LINK, TAG, END, COMMA, COLON, BAR, SYMBOL, MARK, SKIP = range(len(CLASSES))
 FUNCTION = (DET, PREP, CONJ, PRON, AUX)
 
 _FUNCTION_WORDS: dict[str, int] = {}
@@ -52,12 +56,17 @@ TOKEN = re.compile(
 _MARK = re.compile(r"\s*(?:[•*·‣◦▪–—+>-]+|\(?\d{1,4}[.)]|\(?[A-Za-z][.)])\s+(?=\S)")
 _LINK = re.compile(r"https?:|www\.|.*[^\W\d_].*\.[^\W_]")
 _HARD = re.compile(r"[bcdfghjklmnpqrstvwxzß]{5,}|^[^aeiouyáéíóúàèìòùâêîôûäëïöüœæ]{4,}$")
-_QUOTES = set("\"'’‘“”„«»()[]-–—*_")
+_QUOTES = set("\"'’‘“”„«»「」()[]-–—*_")
+_LINE_ENDS = frozenset(".!?…。！？।؟\"”»)")
+_ENDS, _COMMAS, _COLONS = set(".!?…。！？।؟"), set(",،、，"), set(":;：；؛")
 
 #: Tokens of a segment; a line of twice as many is cut.
 SEGMENT_TOKENS = 24
-#: A word is a keyword of its text if it is there so often, makes up this share of the text's words and has so many letters.
-KEY_COUNT, KEY_SHARE, KEY_LETTERS = 5, 0.03, 3
+#: Unknown words of at most so many letters may be function words of another language.
+SHORT_LETTERS = 3
+#: A word is ``NEAR``, ``CLOSE`` or ``MID`` if the same word stands at most so many words before or after it; shorter ones never are.
+REACH = ((8, NEAR), (12, CLOSE), (24, MID))
+REPEATED_LETTERS = 3
 
 
 def classify(token: str) -> int:
@@ -72,6 +81,8 @@ def classify(token: str) -> int:
             kind = _FUNCTION_WORDS.get(token.lower())
             if kind is not None:
                 return kind
+            if len(token) <= SHORT_LETTERS and not token.isupper():
+                return SHORT
             odd = len(token) > 26 or head.isascii() and (len(token) == 1 or _HARD.search(token.lower()))
             return ODD if odd else WORD
         if not any(c.isalpha() for c in token):
@@ -82,13 +93,13 @@ def classify(token: str) -> int:
     if token[-1] == ")" and len(token) > 2 and any(c.isdigit() for c in token):
         return SKIP
     signs = set(token)
-    if signs <= {".", "!", "?", "…"} | _QUOTES and signs & {".", "!", "?", "…"}:
+    if signs <= _ENDS | _QUOTES and signs & _ENDS:
         return END if len(token) <= 4 else SYMBOL
     if head == "#" and token[-1].isalnum():
         return TAG if any(c.isalpha() for c in token) else NUMBER
-    if signs <= {","} | _QUOTES and "," in signs:
+    if signs <= _COMMAS | _QUOTES and signs & _COMMAS:
         return COMMA
-    if signs <= {":", ";"} | _QUOTES and signs & {":", ";"}:
+    if signs <= _COLONS | _QUOTES and signs & _COLONS:
         return COLON
     if signs <= _QUOTES:
         return SKIP if len(token) <= 3 else SYMBOL
@@ -146,9 +157,22 @@ class Batch:
         return np.bincount(self.segment * n + self.kind, minlength=n * len(self.segment_doc)).reshape(-1, n)
 
 
-def read_texts(
-    texts: Iterable[str | None], segment_tokens: int = SEGMENT_TOKENS, key_count: int = KEY_COUNT, key_share: float = KEY_SHARE
-) -> Batch:
+def _repeats(kind: np.ndarray, size: np.ndarray, low: np.ndarray, doc: np.ndarray) -> None:
+    """Give longer words that stand near the same word of their text a class by the distance; ``kind`` is changed."""
+    place = np.cumsum(kind <= LINK)  # counts words, not signs
+    may = np.flatnonzero(((kind == WORD) | (kind == MIXED) | (kind == ODD)) & (size >= REPEATED_LETTERS))
+    if len(may) < 2:
+        return
+    key = doc[may] * np.int64(low.max() + 1) + low[may]
+    order = np.argsort(key, kind="stable")
+    at, same = place[may][order], key[order][1:] == key[order][:-1]
+    gap = np.where(same, at[1:] - at[:-1], np.iinfo(np.int64).max)
+    nearest = np.minimum(np.append(np.iinfo(np.int64).max, gap), np.append(gap, np.iinfo(np.int64).max))
+    for most, name in reversed(REACH):
+        kind[may[order[nearest <= most]]] = name
+
+
+def read_texts(texts: Iterable[str | None], segment_tokens: int = SEGMENT_TOKENS) -> Batch:
     """Tokens, classes and segments of ``texts``. A segment is some whole lines or a piece of a long line."""
     if len(_seen.number) > _Tokens.MOST:
         _seen.clear()
@@ -161,7 +185,10 @@ def read_texts(
     for d, text in enumerate(texts):
         begin = first = len(numbers)
         n_lines = n_ended = 0
-        for line in (text or "").splitlines():
+        text = text or ""
+        if text.isupper():  # shouted: letter case tells nothing
+            text = text.lower()
+        for line in text.splitlines():
             mark = _MARK.match(line)
             found = find(line, mark.end()) if mark else find(line)
             if mark:
@@ -169,7 +196,7 @@ def read_texts(
             elif not found:
                 continue
             n_lines += 1
-            n_ended += line.rstrip()[-1:] in ".!?…\"”»)"
+            n_ended += line.rstrip()[-1:] in _LINE_ENDS
             for t in found:
                 n = get(t)
                 numbers.append(add(t) if n is None else n)
@@ -203,11 +230,7 @@ def read_texts(
     doc = np.repeat(np.arange(len(ends)), np.diff(np.array([0, *ends])))
     segment = np.repeat(np.arange(len(cuts)), np.diff(np.array([0, *cuts])))
     if len(number):
-        words = np.bincount(doc[kind <= ODD], minlength=len(ends))
-        content = np.flatnonzero(((kind == WORD) | (kind == MIXED) | (kind == ODD)) & (sizes[number] >= KEY_LETTERS))
-        _, place, count = np.unique(doc[content] * np.int64(len(kinds)) + lows[number[content]], return_inverse=True, return_counts=True)
-        often = count[place]
-        kind[content[(often >= key_count) & (often >= key_share * words[doc[content]])]] = KEY
+        _repeats(kind, sizes[number], lows[number], doc)
     return Batch(kind, sizes[number] if len(number) else number, segment, doc, np.array(segment_docs, np.int64), len(ends), np.array(lines), np.array(ended))
 
 

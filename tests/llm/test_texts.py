@@ -4,8 +4,10 @@ import base64
 import random
 from pathlib import Path
 
+import numpy as np
 import pytest
 
+from ravelin.llm import spam
 from ravelin.llm.encoding import DEFAULT_VOCABULARY, Vocabulary, decode_corpus, encode_corpus
 from ravelin.llm.leakage import PassageIndex, leak_spans, leaked_items, lower_in_place
 from ravelin.llm.quality import not_prose, text_statistics
@@ -166,6 +168,61 @@ SPAM = [
 ]
 
 
+# Prose in languages whose function words the operators don't know.
+OTHER_LANGUAGES = {
+    "nl": """De haven werd in de twaalfde eeuw gebouwd door kooplieden uit het noorden, en lange tijd bleef zij de enige veilige
+plaats tussen de twee rivieren. Toen de koning in 1384 de stad bezocht, gaf hij haar het recht om een markt te houden
+op de eerste dag van elke maand. De meeste huizen bij het water gingen verloren in een brand die in een bakkerij
+begon, maar de oude kerk werd niet beschadigd.""",
+    "pl": """Port został zbudowany w dwunastym wieku przez kupców z północy i przez długi czas pozostawał jedynym bezpiecznym
+miejscem między dwiema rzekami. Kiedy król odwiedził miasto w 1384 roku, nadał mu prawo do organizowania targu
+pierwszego dnia każdego miesiąca. Większość domów nad wodą spłonęła w pożarze, który zaczął się w piekarni, ale stary
+kościół nie został uszkodzony.""",
+    "ru": """Гавань была построена в двенадцатом веке купцами с севера и долгое время оставалась единственным безопасным местом
+между двумя реками. Когда король посетил город в 1384 году, он дал ему право проводить рынок в первый день каждого
+месяца. Большинство домов у воды погибло в пожаре, который начался в пекарне, но старая церковь, стоящая на холме, не
+пострадала.""",
+    "pt": """O porto foi construído no século doze por mercadores do norte e durante muito tempo foi o único lugar seguro entre os
+dois rios. Quando o rei visitou a cidade em 1384, deu-lhe o direito de realizar um mercado no primeiro dia de cada
+mês. A maior parte das casas perto da água perdeu-se num incêndio que começou numa padaria, mas a velha igreja não foi
+atingida.""",
+    "it": """Il porto fu costruito nel dodicesimo secolo da mercanti del nord e per molto tempo rimase l'unico luogo sicuro tra i
+due fiumi. Quando il re visitò la città nel 1384, le diede il diritto di tenere un mercato il primo giorno di ogni
+mese. La maggior parte delle case vicino all'acqua andò perduta in un incendio che cominciò in un forno, ma la vecchia
+chiesa non fu danneggiata.""",
+    "sv": """Hamnen byggdes på tolvhundratalet av köpmän från norr, och under lång tid var den den enda säkra platsen mellan de två
+floderna. När kungen besökte staden 1384 gav han den rätt att hålla marknad den första dagen i varje månad. De flesta
+husen nära vattnet förstördes i en brand som började i ett bageri, men den gamla kyrkan skadades inte.""",
+    "fi": """Satama rakennettiin kahdennellatoista vuosisadalla pohjoisesta tulleiden kauppiaiden toimesta, ja pitkään se oli ainoa
+turvallinen paikka kahden joen välissä. Kun kuningas vieraili kaupungissa vuonna 1384, hän antoi sille oikeuden pitää
+markkinoita jokaisen kuukauden ensimmäisenä päivänä. Useimmat veden lähellä olevat talot tuhoutuivat tulipalossa, joka
+alkoi leipomosta, mutta vanha kirkko ei vahingoittunut.""",
+    "tr": """Liman on ikinci yüzyılda kuzeyden gelen tüccarlar tarafından inşa edildi ve uzun süre iki nehir arasındaki tek güvenli
+yer olarak kaldı. Kral 1384 yılında şehri ziyaret ettiğinde, ona her ayın ilk günü pazar kurma hakkı verdi. Suya yakın
+evlerin çoğu bir fırında başlayan yangında yok oldu, ancak eski kilise zarar görmedi.""",
+    "cs": """Přístav byl postaven ve dvanáctém století kupci ze severu a po dlouhou dobu zůstával jediným bezpečným místem mezi
+oběma řekami. Když král v roce 1384 navštívil město, dal mu právo pořádat trh první den každého měsíce. Většina domů u
+vody byla ztracena při požáru, který začal v pekárně, ale starý kostel poškozen nebyl.""",
+    "el": """Το λιμάνι χτίστηκε τον δωδέκατο αιώνα από εμπόρους από τον βορρά και για πολύ καιρό παρέμεινε το μόνο ασφαλές μέρος
+ανάμεσα στα δύο ποτάμια. Όταν ο βασιλιάς επισκέφθηκε την πόλη το 1384, της έδωσε το δικαίωμα να οργανώνει αγορά την
+πρώτη μέρα κάθε μήνα. Τα περισσότερα σπίτια κοντά στο νερό χάθηκαν σε μια πυρκαγιά.""",
+    "ar": """بني الميناء في القرن الثاني عشر على يد تجار من الشمال، وظل لفترة طويلة المكان الآمن الوحيد بين النهرين. وعندما زار
+الملك المدينة في عام ١٣٨٤ منحها الحق في إقامة سوق في اليوم الأول من كل شهر. وقد ضاعت معظم المنازل القريبة من الماء في
+حريق بدأ في مخبز.""",
+}
+DIALOGUE = """"Where did you put the keys?" she asked. "I left them on the table, next to the lamp." He looked again, but there was
+nothing there. "Are you sure? I can't see them." "Of course I'm sure. You never look properly." They both laughed."""
+# Structures that no sample has.
+UNSEEN = [
+    "\n".join(f"{n.upper()};{i};{i * i};{'yes' if i % 3 else 'no'};{n[::-1]}" for i, n in enumerate(NAMES)),
+    "\n".join(f"§ {i}.{i % 7} {NOUNS[i % 14]} / {n}" for i, n in enumerate(NAMES)),
+    "\n".join(f"{n} <{n.lower()}@mail.test>" for n in NAMES),
+    "{" + ", ".join(f'"{n}": {{"x": {i}, "y": {i * 7}}}' for i, n in enumerate(NAMES)) + "}",
+    "\n".join(f"{i % 12}.{i % 28}.19{i:02d} {n} - {NAMES[-i]} {i % 5}:{i % 4}" for i, n in enumerate(NAMES)),
+    " ".join(f"%{i:02X}%{i * 3 % 256:02X}" for i in range(300)),
+]
+
+
 def shares(spark, some, column, f):
     rows = spark.createDataFrame([(i, t, t, 1, "w") for i, t in enumerate(some)], "doc_id long, body string, text string, chars int, words string")
     return {r.doc_id: r for r in f(rows).collect()}, rows
@@ -203,6 +260,39 @@ def test_spam_and_what_is_not(spark):
     assert {r.doc_id for r in spam_pages(spam_share(rows)).collect()} == set(range(len(PROSE) + len(LISTS), len(some)))
 
 
+def test_other_languages_are_prose(spark):
+    some = [*OTHER_LANGUAGES.values(), DIALOGUE, *(t.upper() for t in OTHER_LANGUAGES.values())]
+    got, rows = shares(spark, some, "body", text_statistics)
+    assert not_prose(text_statistics(rows)).count() == 0
+    assert spam_pages(spam_share(rows)).count() == 0
+
+
+def test_unseen_structures(spark):
+    _, rows = shares(spark, [*UNSEEN, *OTHER_LANGUAGES.values()], "body", text_statistics)
+    assert {r.doc_id for r in not_prose(text_statistics(rows)).collect()} == set(range(len(UNSEEN)))
+    addresses = 2  # a list of addresses in which every name stands twice may count as a list of links
+    assert {r.doc_id for r in spam_pages(spam_share(rows)).collect()} <= {addresses}
+
+
+def test_perplexity_alone_decides(spark, monkeypatch):
+    """Without an abnormal perplexity no text is spam, whatever it is made of; and the model is one of prose."""
+    model = spam.ProseModel.of(spam.sample_counts())
+    never = spam.ProseModel(np.full_like(model.bits, model.mean), model.mean)
+    _, rows = shares(spark, SPAM + PROSE, "text", spam_share)
+    assert spam_pages(spam_share(rows, model=never)).count() == 0
+    assert {r.doc_id for r in spam_pages(spam_share(rows, model=model)).collect()} == set(range(len(SPAM)))
+
+
+def test_model_does_not_learn_from_spam(spark):
+    _, rows = shares(spark, SPAM * 3, "text", spam_share)
+    np.testing.assert_array_equal(spam.fit(rows).bits, spam.ProseModel.of(spam.sample_counts()).bits)
+
+
+def test_repeated_paragraphs_are_no_spam(spark):
+    _, rows = shares(spark, [(ENGLISH + "\n") * 9, (GERMAN + "\n") * 9], "text", spam_share)
+    assert spam_pages(spam_share(rows)).count() == 0
+
+
 def test_articles_with_some_spam(spark):
     some = [ENGLISH + "\n\n" + FRENCH + "\n\n" + SPAM[1][:130], ENGLISH[:120] + "\n" + SPAM[0], SPAM[4] + "\n" + ENGLISH[:100]]
     _, rows = shares(spark, some, "text", spam_share)
