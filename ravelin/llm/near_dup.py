@@ -179,6 +179,26 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), lists], ["doc_id", "text", "sketches"])
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of one range of (key, rep) in order: rows whose key stands more than once, and the first and last row of the range.
+
+    The first and the last key may go on in the ranges beside, so their rows are kept in any case. One row is held.
+    """
+    held: pa.RecordBatch | None = None
+    before = True  # whether the held row is kept because of what stands before it
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        rows = batch if held is None else pa.concat_batches([held, batch])
+        key = rows.column("key").to_numpy()
+        same = key[1:] == key[:-1]
+        keep = np.append(same, False) | np.append(before, same)
+        held, before = rows.slice(rows.num_rows - 1), bool(keep[-1])
+        yield rows.slice(0, rows.num_rows - 1).filter(pa.array(keep[:-1]))
+    if held is not None:
+        yield held
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         left, at_left = _lists(batch.column("words_a"))
@@ -198,6 +218,11 @@ def _words() -> Column:
     return F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
 
 
+def _normalised(bodies: DataFrame) -> DataFrame:
+    """``doc_id``, ``norm`` of bodies that have enough words."""
+    return bodies.select("doc_id", normalize_text(F.col("body")).alias("norm")).filter(token_count(F.col("norm")) >= MIN_WORDS)
+
+
 class NearDuplicates:
     """Near-duplicates of ``body`` in a table of documents.
 
@@ -211,11 +236,9 @@ class NearDuplicates:
     """
 
     def __init__(self, documents: DataFrame):
-        norm = normalize_text(F.col("body"))
-        texts = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), norm.alias("norm"))
-        self._texts = texts.filter(token_count(F.col("norm")) >= MIN_WORDS)
+        self._bodies = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "body")
         text_hash = F.struct(F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"))
-        drawn = self._texts.select("doc_id", text_hash.alias("text"), _words().alias("words"))
+        drawn = _normalised(self._bodies).select("doc_id", text_hash.alias("text"), _words().alias("words"))
         schema = "doc_id long, text struct<h1: long, h2: long>, sketches array<long>"
         sketches = cut_lineage(drawn.mapInArrow(_sketch_batches, schema))
         self._classes = sketches.groupBy("text").agg(F.min("doc_id").alias("rep"), F.first("sketches").alias("sketches"), F.count(F.lit(1)).alias("n"))
@@ -225,28 +248,35 @@ class NearDuplicates:
         self.links = self._verified(self._candidates())
 
     def _candidates(self) -> DataFrame:
-        """Pairs of representatives with an equal sketch, each pair once."""
-        drawn = self._classes.select("rep", F.posexplode("sketches").alias("j", "key"))
-        sizes = drawn.groupBy("j", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        placed = drawn.join(sizes, ["j", "key"])
+        """Pairs of representatives with an equal sketch, each pair once.
+
+        Keys are placed by ranges of (key, representative), so a key that many records share fills as many ranges as it
+        needs, and only rows whose key stands more than once go on.
+        """
+        drawn = self._classes.select("rep", F.explode("sketches").alias("key"))  # a key has the number of its sketch in it
+        ranges = drawn.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
+        shared = cut_lineage(ranges.mapInArrow(_repeated, "rep long, key long"))
+        sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+        placed = shared.join(sizes, "key")
         small, hot = placed.filter(F.col("size") <= HOT_BUCKET), placed.filter(F.col("size") > HOT_BUCKET)
         blocks = F.ceil(F.col("size") / HOT_BUCKET).cast("int")
-        blocked = hot.select("rep", "j", "key", (blocks - 1).alias("last"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
+        blocked = hot.select("rep", "key", (blocks - 1).alias("last"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
 
         def pairs(left: DataFrame, right: DataFrame, on: list[str], kept: str) -> DataFrame:
             met = left.withColumnRenamed("rep", "a").join(right.withColumnRenamed("rep", "b"), on).filter(kept)
             return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
         # blocks x <= y meet in one place (x, y): a record is there as x for its own and all later blocks, as y for all up to its own
-        left = blocked.select("rep", "j", "key", F.col("block").alias("x"), F.explode(F.sequence("block", "last")).alias("y"))
-        right = blocked.select("rep", "j", "key", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"))
-        within = pairs(small.select("rep", "j", "key"), small.select("rep", "j", "key"), ["j", "key"], "a < b")
-        return within.unionByName(pairs(left, right, ["j", "key", "x", "y"], "x < y OR a < b")).distinct()
+        left = blocked.select("rep", "key", F.col("block").alias("x"), F.explode(F.sequence("block", "last")).alias("y"))
+        right = blocked.select("rep", "key", F.explode(F.sequence(F.lit(0), "block")).alias("x"), F.col("block").alias("y"))
+        within = pairs(small.select("rep", "key"), small.select("rep", "key"), ["key"], "a < b")
+        return within.unionByName(pairs(left, right, ["key", "x", "y"], "x < y OR a < b")).distinct()
 
     def _verified(self, candidates: DataFrame) -> DataFrame:
         candidates = cut_lineage(candidates)  # small, and used twice
         wanted = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
-        texts = self._texts.join(wanted, "doc_id", "left_semi").select("doc_id", _words().alias("words"))  # texts shuffle smaller than hashes
+        # bodies meet the ids before they are normalised again: most have no candidate, and texts shuffle smaller than hashes
+        texts = _normalised(self._bodies.join(wanted, "doc_id", "left_semi")).select("doc_id", _words().alias("words"))
         left = texts.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b"))
         rows = candidates.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
@@ -267,4 +297,4 @@ class NearDuplicates:
         ends = self.links.select(F.col("a").alias("rep")).unionByName(self.links.select(F.col("b").alias("rep")))
         degree = ends.groupBy("rep").agg(F.count(F.lit(1)).alias("links"))
         known = sizes.join(degree, "rep", "left").select("rep", "copies", F.coalesce("links", F.lit(0)).alias("links"))
-        return self.members.join(known, "rep").select("doc_id", F.col("rep").alias("class_id"), "copies", "links")
+        return join_states(self.members, known, "rep").select("doc_id", F.col("rep").alias("class_id"), "copies", "links")

@@ -18,6 +18,15 @@ _GRAMS = """grams AS (
   FROM (SELECT id, w, unnest(range(1, len(w) - 10)) AS i FROM (
     SELECT id, string_split(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM %s)))"""
 
+_SHINGLES = """w AS (
+  SELECT doc_id, string_split(trim(regexp_replace(lower(body), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w
+  FROM (SELECT doc_id, body %s) WHERE body IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"""
+_SIMILAR = """both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 100 >= (x.n + y.n - c) * 70)"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -27,14 +36,16 @@ def oracle_sql() -> dict[str, str]:
 lengths AS (SELECT doc_id, max(coalesce(length, 0)) AS length FROM documents GROUP BY doc_id)
 SELECT doc_id, term FROM merged JOIN df USING (term) JOIN lengths USING (doc_id)
 WHERE df BETWEEN 2 AND 10 AND tf >= 3 AND tf * 100 >= length * 2""",
-        "p4_found": """WITH w AS (
-  SELECT doc_id, string_split(trim(regexp_replace(lower(body), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents WHERE body IS NOT NULL),
-s AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 20)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT a AS doc_id_a, b AS doc_id_b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
-WHERE c * 100 >= (x.n + y.n - c) * 70""",
+        "p4_found": f"""WITH {_SHINGLES % "FROM documents"}, {_SIMILAR}
+SELECT a AS doc_id_a, b AS doc_id_b FROM links""",
+        "p4_classes": f"""WITH texts AS (
+  SELECT doc_id, trim(regexp_replace(lower(body), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS norm FROM documents WHERE body IS NOT NULL),
+members AS (
+  SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS class_id, count(*) OVER (PARTITION BY norm) AS copies
+  FROM texts WHERE len(string_split(norm, ' ')) >= 20),
+{_SHINGLES % "FROM documents WHERE doc_id IN (SELECT class_id FROM members)"}, {_SIMILAR},
+degree AS (SELECT rep, count(*) AS n FROM (SELECT a AS rep FROM links UNION ALL SELECT b FROM links) GROUP BY rep)
+SELECT doc_id, class_id, copies, coalesce(n, 0)::BIGINT AS links FROM members LEFT JOIN degree ON rep = class_id""",
         "p6_round_trip": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         "p7_found": f"""WITH d AS (SELECT doc_id AS id, text FROM documents), e AS (SELECT item_id AS id, text FROM eval_items),
 dg AS (WITH {_GRAMS % "d"} SELECT * FROM grams), eg AS (WITH {_GRAMS % "e"} SELECT * FROM grams)

@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ravelin.llm import near_dup
@@ -100,6 +101,19 @@ def test_hot_bucket_is_enough(spark, monkeypatch):
     assert sorted(got) == sorted([(a, b) for b in range(11) for a in range(b)] + [(20, 21)])
 
 
+def test_only_keys_that_stand_twice_go_on():
+    def rows(*keys):
+        return pa.RecordBatch.from_pydict({"rep": pa.array(range(len(keys)), pa.int64()), "key": pa.array(keys, pa.int64())})
+
+    def kept(*batches):
+        return [k for b in near_dup._repeated(iter(batches)) for k in b.column("key").to_pylist()]
+
+    assert kept(rows(1, 2, 3, 3, 4, 5)) == [1, 3, 3, 5]  # the first and the last may go on elsewhere
+    assert kept(rows(1, 1), rows(1, 2), rows(2, 3), rows(4), rows(), rows(5)) == [1, 1, 1, 2, 2, 5]
+    assert kept(rows(7), rows(7), rows(7)) == [7, 7, 7]
+    assert kept() == []
+
+
 def test_copies_and_classes(spark):
     text = " ".join(f"w{i}" for i in range(50))
     other = " ".join(f"v{i}" for i in range(50))
