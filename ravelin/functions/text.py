@@ -15,7 +15,7 @@ WORD_GAP = r"[^\p{L}\p{N}]+"
 
 def lower_runes(text: Column) -> Column:
     """Lower-case one character at a time: the dotted capital I becomes ``i`` and the capital sigma ``σ``, whatever follows."""
-    return F.lower(F.translate(text, "İΣ", "iσ"))
+    return F.lower(F.replace(F.replace(text, F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
 
 
 def trim_spaces(text: Column) -> Column:
