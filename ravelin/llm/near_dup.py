@@ -19,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ravelin.functions.text import normalize_text
-from ravelin.operators.indexer import token_count
+from ravelin.functions.text import WORD_GAP, lower_runes
 from ravelin.operators.skew import join_states
 from ravelin.session import cut_lineage
 
@@ -144,17 +144,25 @@ def edit_distance_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
     return None
 
 
-def similar(a: np.ndarray, b: np.ndarray, min_percent: int = MIN_PERCENT) -> tuple[bool, int | None]:
+def _distinct(words: np.ndarray) -> np.ndarray:
+    """Distinct k-mers in order."""
+    return np.unique(_kmers(words))
+
+
+def similar(a: np.ndarray, b: np.ndarray, min_percent: int = MIN_PERCENT, kmers: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[bool, int | None]:
     """Whether two records reach the similarity, and their edit distance if the alignment has proved it.
 
     One edit changes at most K k-mers of either side. With x distinct k-mers on the larger side and d edits, at least
     x - K d are in both and at most x + K d in either, so the alignment looks for no more edits than prove the case.
+    ``kmers`` are the distinct k-mers of both, if they are known.
     """
-    ka, kb = np.unique(_kmers(a)), np.unique(_kmers(b))
+    ka, kb = kmers or (_distinct(a), _distinct(b))
     larger = max(len(ka), len(kb))
     if min(len(ka), len(kb)) * 100 < larger * min_percent:
         return False, None
-    both = len(np.intersect1d(ka, kb, assume_unique=True))
+    merged = np.concatenate((ka, kb))
+    merged.sort(kind="stable")  # two runs in order: a merge
+    both = int(np.count_nonzero(merged[1:] == merged[:-1]))
     if both * 100 < (len(ka) + len(kb) - both) * min_percent:  # cheaper than an alignment that can't succeed
         return False, None
     return True, edit_distance_within(a, b, min(BAND, larger * (100 - min_percent) // (K * (100 + min_percent))))
@@ -169,6 +177,9 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        batch = batch.filter(pc.greater_equal(pc.fill_null(pc.list_value_length(batch.column("words")), 0), MIN_WORDS))
         if batch.num_rows == 0:
             continue
         word, bounds = _lists(batch.column("words"))
@@ -199,13 +210,36 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
+class _Known:
+    """Distinct k-mers of records seen lately: a record is in many candidate pairs."""
+
+    MOST = 2_000_000
+
+    def __init__(self):
+        self.size, self.held = 0, {}
+
+    def of(self, record: int, words: np.ndarray) -> np.ndarray:
+        key = (record, len(words), words.tobytes() if len(words) < 64 else hash(words.tobytes()))
+        if key not in self.held:
+            if self.size > self.MOST:
+                self.size, self.held = 0, {}
+            self.held[key] = _distinct(words)
+            self.size += len(words)
+        return self.held[key]
+
+
 def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Known()
     for batch in batches:
+        ids_a, ids_b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
         left, at_left = _lists(batch.column("words_a"))
         right, at_right = _lists(batch.column("words_b"))
         keep, edits = [], []
         for i in range(batch.num_rows):
-            ok, distance = similar(left[at_left[i] : at_left[i + 1]], right[at_right[i] : at_right[i + 1]])
+            a, b = left[at_left[i] : at_left[i + 1]], right[at_right[i] : at_right[i + 1]]
+            if min(len(a), len(b)) < MIN_WORDS:  # another text under the same id
+                continue
+            ok, distance = similar(a, b, kmers=(known.of(ids_a[i], a), known.of(ids_b[i], b)))
             if ok:
                 keep.append(i)
                 edits.append(distance)
@@ -213,14 +247,14 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column("a").take(rows), batch.column("b").take(rows), pa.array(edits, pa.int32())], ["a", "b", "edits"])
 
 
-def _words() -> Column:
-    """Hashes of the words of ``norm`` in order."""
-    return F.transform(F.split("norm", " "), lambda w: F.xxhash64(w))
+def _split(bodies: DataFrame) -> DataFrame:
+    """``doc_id``, ``split``: the words in order. Short bodies are left out later: a filter here would split every body twice."""
+    return bodies.select("doc_id", F.array_remove(F.split(lower_runes(F.col("body")), WORD_GAP), "").alias("split"))
 
 
-def _normalised(bodies: DataFrame) -> DataFrame:
-    """``doc_id``, ``norm`` of bodies that have enough words."""
-    return bodies.select("doc_id", normalize_text(F.col("body")).alias("norm")).filter(token_count(F.col("norm")) >= MIN_WORDS)
+def _words() -> Column:
+    """Hashes of the words in order."""
+    return F.transform("split", lambda w: F.xxhash64(w))
 
 
 class NearDuplicates:
@@ -236,9 +270,10 @@ class NearDuplicates:
     """
 
     def __init__(self, documents: DataFrame):
-        self._bodies = documents.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "body")
-        text_hash = F.struct(F.xxhash64("norm").alias("h1"), F.xxhash64("norm", F.lit(1)).alias("h2"))
-        drawn = _normalised(self._bodies).select("doc_id", text_hash.alias("text"), _words().alias("words"))
+        known = documents.filter(F.col("doc_id").isNotNull() & F.col("body").isNotNull())
+        self._bodies = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("body").cast("string").alias("body"))
+        text_hash = F.struct(F.xxhash64("split").alias("h1"), F.xxhash64("split", F.lit(1)).alias("h2"))
+        drawn = _split(self._bodies).select("doc_id", text_hash.alias("text"), _words().alias("words"))
         schema = "doc_id long, text struct<h1: long, h2: long>, sketches array<long>"
         sketches = cut_lineage(drawn.mapInArrow(_sketch_batches, schema))
         self._classes = sketches.groupBy("text").agg(F.min("doc_id").alias("rep"), F.first("sketches").alias("sketches"), F.count(F.lit(1)).alias("n"))
@@ -253,7 +288,7 @@ class NearDuplicates:
         Keys are placed by ranges of (key, representative), so a key that many records share fills as many ranges as it
         needs, and only rows whose key stands more than once go on.
         """
-        drawn = self._classes.select("rep", F.explode("sketches").alias("key"))  # a key has the number of its sketch in it
+        drawn = self._classes.select("rep", F.posexplode("sketches").alias("j", "key")).select("rep", F.xxhash64("j", "key").alias("key"))
         ranges = drawn.repartitionByRange("key", "rep").sortWithinPartitions("key", "rep")
         shared = cut_lineage(ranges.mapInArrow(_repeated, "rep long, key long"))
         sizes = shared.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
@@ -275,8 +310,8 @@ class NearDuplicates:
     def _verified(self, candidates: DataFrame) -> DataFrame:
         candidates = cut_lineage(candidates)  # small, and used twice
         wanted = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).distinct()
-        # bodies meet the ids before they are normalised again: most have no candidate, and texts shuffle smaller than hashes
-        texts = _normalised(self._bodies.join(wanted, "doc_id", "left_semi")).select("doc_id", _words().alias("words"))
+        # bodies meet the ids before they are split again: most have no candidate, and texts shuffle smaller than hashes
+        texts = _split(self._bodies.join(wanted, "doc_id", "left_semi")).select("doc_id", _words().alias("words"))
         left = texts.select(F.col("doc_id").alias("a"), F.col("words").alias("words_a"))
         right = texts.select(F.col("doc_id").alias("b"), F.col("words").alias("words_b"))
         rows = candidates.join(left, "a").join(right, "b").select("a", "b", "words_a", "words_b")
