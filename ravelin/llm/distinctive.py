@@ -1,7 +1,8 @@
 """How characteristic each term is of its document: a parsimonious language model per document.
 
 A document's occurrences are a mixture of its own model and the background model of the whole collection. Expectation
-maximisation moves the mass that the background explains out of the document's model; what stays ranks its terms.
+maximisation moves the mass that the background explains out of the document's model; what stays, when it has converged,
+ranks its terms.
 """
 
 from __future__ import annotations
@@ -15,39 +16,57 @@ from pyspark.sql import functions as F
 
 from ravelin.operators.postings import clean_postings, merge_blocks
 from ravelin.operators.skew import hot_keys
+from ravelin.session import written
 
 #: Weight of the document's own model in the mixture.
 OWN_WEIGHT = 0.1
-MAX_ROUNDS = 60
-TOLERANCE = 1e-6
-#: Terms with at least 1 % of the postings: never more than 100, so their statistics may be broadcast.
+#: A model has converged when a step of expectation-maximisation moves no probability by more.
+TOLERANCE = 1e-9
+#: Terms with at least 1 % of the rows, one per term and document: never more than 100, so their statistics may be broadcast.
 HOT_PERCENT = 1
 #: Documents are handled together up to so many rows; one document is never divided.
 CHUNK_ROWS = 200_000
 
+_TINY = 1e-300
 _OUT = pa.schema([("doc_id", pa.int64()), ("term", pa.string()), ("tf", pa.int64()), ("df", pa.int64()), ("length", pa.int64()), ("weight", pa.float64()), ("rank", pa.int32())])
 
 
-def own_model(tf: np.ndarray, background: np.ndarray, starts: np.ndarray, own_weight: float = OWN_WEIGHT, rounds: int = MAX_ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+def em_step(p: np.ndarray, tf: np.ndarray, background: np.ndarray, group: np.ndarray, groups: int, own_weight: float = OWN_WEIGHT) -> np.ndarray:
+    """One step of expectation-maximisation: what each term's occurrences owe to the document's own model, as a distribution."""
+    mass = own_weight * p
+    share = tf * mass / np.maximum(mass + (1 - own_weight) * background, _TINY)
+    return share / np.maximum(np.bincount(group, share, groups), _TINY)[group]
+
+
+def own_model(tf: np.ndarray, background: np.ndarray, starts: np.ndarray, own_weight: float = OWN_WEIGHT, tolerance: float = TOLERANCE) -> np.ndarray:
     """Converged term probabilities of several documents at once; ``starts`` has the first row of each.
 
-    Each document stops on its own, so the result doesn't depend on what it is handled with.
+    Plain steps creep towards their limit where a term's mass goes to zero, so each round jumps: among the terms that
+    still have mass, the limit must have ``p = c tf - r background`` with ``r`` the odds of the background and ``c`` such
+    that the sum is 1; terms for which that is negative have no mass in the limit and leave, after which ``c`` can only
+    fall, so none comes back. A document ends when no term leaves, after no more rounds than it has terms and mostly fewer
+    than ten. The result is a point that ``em_step`` doesn't move, which is checked. Each document ends on its own, so the
+    result doesn't depend on what it is handled with.
     """
     sizes = np.diff(np.append(starts, len(tf)))
-    p = tf / np.repeat(np.add.reduceat(tf, starts), sizes)
-    todo = np.arange(len(starts))
-    for _ in range(rounds):
-        size = sizes[todo]
-        first = np.concatenate(([0], np.cumsum(size)[:-1]))
-        rows = np.repeat(starts[todo] - first, size) + np.arange(size.sum())
-        old = p[rows]
-        mass = own_weight * old
-        share = tf[rows] * mass / (mass + (1 - own_weight) * background[rows])
-        new = share / np.repeat(np.add.reduceat(share, first), size)
-        p[rows] = new
-        todo = todo[np.maximum.reduceat(np.abs(new - old), first) > tolerance]
-        if len(todo) == 0:
-            break
+    n = len(starts)
+    group = np.repeat(np.arange(n), sizes)
+    odds = (1 - own_weight) / own_weight
+    active = np.arange(len(tf))
+    p = np.zeros(len(tf))
+    while len(active):
+        g = group[active]
+        c = (1 + odds * np.bincount(g, background[active], n)) / np.maximum(np.bincount(g, tf[active], n), _TINY)
+        limit = c[g] * tf[active] - odds * background[active]
+        leaves = limit <= 0
+        still = np.zeros(n, bool)
+        still[g[leaves]] = True
+        done = ~still[g]
+        p[active[done]] = limit[done]
+        active = active[~done & ~leaves]
+    moved = np.abs(em_step(p, tf, background, group, n, own_weight) - p)
+    if moved.size and moved.max() > tolerance:
+        raise ArithmeticError(f"a model moves by {moved.max()} after its end")
     return p
 
 
@@ -103,11 +122,10 @@ def distinctive_terms(terms: DataFrame, documents: DataFrame) -> DataFrame:
     ``documents.length``, at most 1. ``length`` is null for documents that ``documents`` doesn't have; with repeated
     document rows the largest counts. Postings are cleaned as in ``clean_postings``; empty tables give no rows.
     """
-    postings = clean_postings(terms)
-    counts = merge_blocks(postings)
+    counts = written(merge_blocks(clean_postings(terms)))  # read four times
     words = documents.agg(F.greatest(F.sum("length"), F.lit(1)).alias("words")).scalar()
     stats = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.least(F.lit(1.0), F.sum("tf") / words).alias("background"))
-    hot = F.broadcast(hot_keys(postings, "term", HOT_PERCENT).select("term"))
+    hot = F.broadcast(hot_keys(counts, "term", HOT_PERCENT).select("term"))
     frequent = counts.join(F.broadcast(stats.join(hot, "term", "left_semi")), "term")  # stays where it is
     others = counts.join(hot, "term", "left_anti").join(stats.join(hot, "term", "left_anti"), "term")
     columns = ["doc_id", "term", "tf", "df", "background"]

@@ -28,10 +28,14 @@ def p1_term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shared_by_few(p2_weights(spark, sf_dir)).select("doc_id", "term")
+    return shared_by_few(_distinctive(spark, sf_dir)).select("doc_id", "term")
 
 
 def p2_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _distinctive(spark, sf_dir).select("doc_id", "term", "tf", "df", "length", F.round("weight", 6).alias("weight"))
+
+
+def _distinctive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distinctive_terms(_table(spark, sf_dir, "terms"), _table(spark, sf_dir, "documents"))
 
 

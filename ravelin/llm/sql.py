@@ -36,6 +36,15 @@ def oracle_sql() -> dict[str, str]:
 lengths AS (SELECT doc_id, max(coalesce(length, 0)) AS length FROM documents GROUP BY doc_id)
 SELECT doc_id, term FROM merged JOIN df USING (term) JOIN lengths USING (doc_id)
 WHERE df BETWEEN 2 AND 10 AND tf >= 3 AND tf * 100 >= length * 2""",
+        "p2_weights": f"""WITH {_MERGED}, words AS (SELECT greatest(coalesce(sum(length), 1), 1) AS words FROM documents),
+stats AS (SELECT term, count(*)::BIGINT AS df, least(1.0::DOUBLE, sum(tf)::DOUBLE / (SELECT words FROM words)) AS bg FROM merged GROUP BY term),
+lengths AS (SELECT doc_id, max(coalesce(length, 0)) AS length FROM documents GROUP BY doc_id),
+r AS (SELECT doc_id, term, tf, df, bg, row_number() OVER (PARTITION BY doc_id ORDER BY tf / bg DESC, term) AS i FROM merged JOIN stats USING (term)),
+-- the limit of expectation-maximisation: the k terms with the largest tf / bg have mass, for the largest k whose last term still gets some
+c AS (SELECT *, (1 + 9 * sum(bg) OVER w) / sum(tf) OVER w AS c FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+k AS (SELECT doc_id, max(i) AS k, max_by(c, i) AS c FROM c WHERE tf * c > 9 * bg GROUP BY doc_id),
+p AS (SELECT r.doc_id, term, tf, df, CASE WHEN i <= k THEN tf * c - 9 * bg ELSE 0 END AS weight FROM r JOIN k USING (doc_id))
+SELECT doc_id, term, tf, df, length, round(weight, 6) AS weight FROM p LEFT JOIN lengths USING (doc_id)""",
         "p4_found": f"""WITH {_SHINGLES % "FROM documents"}, {_SIMILAR}
 SELECT a AS doc_id_a, b AS doc_id_b FROM links""",
         "p4_classes": f"""WITH texts AS (

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ravelin.llm.distinctive import OWN_WEIGHT, distinctive_terms, own_model, shared_by_few
+from ravelin.llm.distinctive import OWN_WEIGHT, distinctive_terms, em_step, own_model, shared_by_few
 from ravelin.llm.term_counts import mark_extremes, term_counts
 
 TERMS = "term string, doc_id long, seg int, freq long, docs int, mark string, occurrences string, length int, df int"
@@ -90,8 +90,23 @@ def test_model_of_many_equals_model_of_each():
     for a, n in zip(starts, sizes, strict=True):
         np.testing.assert_array_equal(together[a : a + n], own_model(tf[a : a + n], background[a : a + n], np.array([0])))
         assert abs(together[a : a + n].sum() - 1) < 1e-9
-    converged = own_model(tf, background, starts, rounds=2000, tolerance=1e-12)
-    np.testing.assert_allclose(converged[8:308], plain_model(tf[8:308], background[8:308], 5000), atol=5e-5)
+    np.testing.assert_allclose(together[8:308], plain_model(tf[8:308], background[8:308], 5000), atol=5e-5)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_model_is_the_limit_of_plain_steps(seed):
+    r = np.random.default_rng(seed)
+    tf, background = r.integers(1, 20, 200).astype(float), r.random(200) ** 4 * 0.2 + 1e-6
+    p = own_model(tf, background, np.array([0]))
+    steps = plain_model(tf, background, 100_000)
+    np.testing.assert_allclose(p, steps, atol=2e-6)
+    assert (p == 0).any()
+    np.testing.assert_allclose(em_step(p, tf, background, np.zeros(200, int), 1), p, atol=1e-12)
+
+
+def test_model_of_odd_counts():
+    assert own_model(np.array([0.0, 0.0]), np.array([0.5, 0.5]), np.array([0])).sum() == 0  # nothing counted: nothing to weigh
+    np.testing.assert_array_equal(own_model(np.array([3.0]), np.array([1.0]), np.array([0])), [1.0])
 
 
 def test_weights(spark):
@@ -107,8 +122,8 @@ def test_weights(spark):
     total = sum(lengths.values()) + 5
     for d in (0, 17, 49):
         mine = sorted(t for t, e in tf if e == d)
-        p = plain_model(np.array([tf[t, d] for t in mine], float), np.array([min(1, cf[t] / total) for t in mine]), 60)
-        np.testing.assert_allclose([got[t, d].weight for t in mine], p, atol=2e-3)
+        p = plain_model(np.array([tf[t, d] for t in mine], float), np.array([min(1, cf[t] / total) for t in mine]), 20_000)
+        np.testing.assert_allclose([got[t, d].weight for t in mine], p, atol=1e-4)
         by_rank = sorted(mine, key=lambda t: got[t, d]["rank"])
         assert by_rank == sorted(mine, key=lambda t: (-got[t, d].weight, t))
         assert {got[t, d].length for t in mine} == {lengths.get(d)}
