@@ -1,14 +1,18 @@
 """Passages of held-out test items inside a corpus, found by one automaton over all items.
 
 The alphabet of the automaton is words, not characters: every distinct word of the items gets one code, every other word
-the code 0, which no passage has. A text is then one short string of codes, scanned once whatever the number of items.
-Hits are word positions; where spans are asked for, they are mapped back to characters of the text as it is stored.
+the code 0, which no item has. A text is then one short string of codes, scanned once whatever the number of items.
+
+A passage is ``n`` consecutive words of an item. The automaton doesn't hold every passage but pieces of about half the
+length, one at every few words of an item, so chosen that each passage contains a whole one. Where a piece is met, text and
+item are compared word by word to both sides, which gives the longest common run; a run of ``n`` words or more is a leak.
+Runs are word positions; where spans are asked for, they are mapped back to characters of the text as it is stored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -18,8 +22,9 @@ from pyspark.sql import functions as F
 
 #: A leak is so many consecutive words of an item.
 PASSAGE_WORDS = 12
-#: Items of one automaton. More items are scanned in blocks, each against the whole corpus.
-ITEMS_PER_BLOCK = 5_000
+#: Items and characters of one automaton at most: what bounds the memory of a worker and what is broadcast. Beyond, the
+#: stated set of items is taken in blocks, each against all texts.
+ITEMS_PER_BLOCK, CHARS_PER_BLOCK = 50_000, 20_000_000
 
 WORD = regex.compile(r"[\p{L}\p{N}]+")
 _SURROGATES = range(0xD800, 0xE000)
@@ -32,20 +37,26 @@ def lower_in_place(text: str) -> str:
 
 
 class PassageIndex:
-    """All passages of ``passage_words`` consecutive words of the items, in one automaton."""
+    """Pieces of all items in one automaton; finds runs of ``passage_words`` or more words that a text shares with an item."""
 
     def __init__(self, items: Iterable[tuple[int, str | None]], passage_words: int = PASSAGE_WORDS):
         self.passage_words = passage_words
+        self.piece_words = (passage_words + 1) // 2
         self._code: dict[str, str] = {}
-        passages: dict[str, list[tuple[int, int]]] = {}
+        self._items: list[tuple[int, str]] = []
+        pieces: dict[str, list[tuple[int, int]]] = {}
         for item, text in items:
-            coded = [self._code_of(w) for w in WORD.findall(lower_in_place(text or ""))]
-            for i in range(len(coded) - passage_words + 1):
-                passages.setdefault("".join(coded[i : i + passage_words]), []).append((item, i))
+            coded = "".join([self._code_of(w) for w in WORD.findall(lower_in_place(text or ""))])
+            if len(coded) < passage_words:
+                continue
+            # a passage from word i on has a piece that begins within the next passage_words - piece_words words
+            for at in range(0, len(coded) - self.piece_words + 1, passage_words - self.piece_words + 1):
+                pieces.setdefault(coded[at : at + self.piece_words], []).append((len(self._items), at))
+            self._items.append((item, coded))
         self.automaton = ahocorasick.Automaton()
-        for passage, places in passages.items():
-            self.automaton.add_word(passage, tuple(places))
-        self.empty = not passages
+        for piece, places in pieces.items():
+            self.automaton.add_word(piece, tuple(places))
+        self.empty = not pieces
         if not self.empty:
             self.automaton.make_automaton()
 
@@ -56,13 +67,29 @@ class PassageIndex:
         return self._code[word]
 
     def hits(self, text: str) -> list[tuple[int, int, int]]:
-        """(first word of the passage in the text, item, first word of the passage in the item) of every match."""
+        """(item, first, last word of the run in the text) of every longest common run of enough words, in order, each once."""
         if self.empty:
             return []
         known = self._code.get
         coded = "".join([known(w, "\0") for w in WORD.findall(lower_in_place(text))])
-        n = self.passage_words
-        return [(end - n + 1, item, at) for end, places in self.automaton.iter(coded) for item, at in places]
+        found = set()
+        seen: dict[tuple[int, int], int] = {}  # where the last run of an item with this offset between text and item ends
+        for end, places in self.automaton.iter(coded):
+            start = end - self.piece_words + 1
+            for row, at in places:
+                if seen.get((row, start - at), -1) >= end:
+                    continue
+                item, other = self._items[row]
+                left = 0
+                while left < min(start, at) and coded[start - left - 1] == other[at - left - 1]:
+                    left += 1
+                right, most = self.piece_words, min(len(coded) - start, len(other) - at)
+                while right < most and coded[start + right] == other[at + right]:
+                    right += 1
+                seen[row, start - at] = start + right - 1
+                if left + right >= self.passage_words:
+                    found.add((item, start - left, start + right - 1))
+        return sorted(found)
 
     def spans(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item, begin, end, words): the stretches of ``text``, in characters, that hold passages of an item."""
@@ -70,53 +97,51 @@ class PassageIndex:
         if not hits:
             return []
         bounds = [m.span() for m in WORD.finditer(lower_in_place(text))]
-        open_: dict[tuple[int, int], list[int]] = {}  # by item and offset between text and item: runs of overlapping passages
-        out = []
-        for first, item, at in sorted(hits):
-            key = (item, first - at)
-            run = open_.get(key)
-            if run and first <= run[1] + 1:
-                run[1] = first + self.passage_words - 1
-            else:
-                if run:
-                    out.append((item, *run))
-                open_[key] = [first, first + self.passage_words - 1]
-        out += [(item, *run) for (item, _), run in open_.items()]
-        return sorted((item, bounds[a][0], bounds[b][1], b - a + 1) for item, a, b in out)
-
-
-@lru_cache(maxsize=2)
-def _index(items: tuple[tuple[int, str | None], ...], passage_words: int) -> PassageIndex:
-    """Built once per worker and block."""
-    return PassageIndex(items, passage_words)
+        return [(item, bounds[a][0], bounds[b][1], b - a + 1) for item, a, b in hits]
+
+
+_built: dict[str, PassageIndex] = {}
+
+
+def _index(name: str, items: list[tuple[int, str | None]], passage_words: int) -> PassageIndex:
+    """Built once per worker and block of items; the last two are kept."""
+    if name not in _built:
+        while len(_built) > 1:
+            _built.pop(next(iter(_built)))
+        _built[name] = PassageIndex(items, passage_words)
+    return _built[name]
 
 
 def _blocks(items: DataFrame, block: int) -> Iterator[list[tuple[int, str | None]]]:
-    """The stated set of items, ``block`` at a time in the order of their ids."""
+    """The stated set of items, so many at a time in the order of their ids; the driver holds one block."""
     rows = items.filter(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").orderBy("item_id", "text")
     held: list[tuple[int, str | None]] = []
+    chars = 0
     for row in rows.toLocalIterator():
         held.append((row["item_id"], row["text"]))
-        if len(held) == block:
+        chars += len(row["text"] or "")
+        if len(held) >= block or chars >= CHARS_PER_BLOCK:
             yield held
-            held = []
+            held, chars = [], 0
     yield held
 
 
 def _scan(documents: DataFrame, items: DataFrame, schema: str, emit, passage_words: int, block: int) -> DataFrame:
     result = None
     rows = documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    names = [f.strip().split(" ")[0] for f in schema.split(",")]
     for some in _blocks(items, block):
         if result is not None and not some:
             break
+        shared = documents.sparkSession.sparkContext.broadcast(some)  # of bounded size
+        name = uuid.uuid4().hex
 
-        def run(batches: Iterator[pa.RecordBatch], some=some) -> Iterator[pa.RecordBatch]:
-            index = _index(tuple(some), passage_words)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, name=name) -> Iterator[pa.RecordBatch]:
+            index = _index(name, shared.value, passage_words)
             for batch in batches:
                 found = [row for d, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) for row in emit(index, d, text)]
-                columns = list(zip(*found, strict=True)) if found else [[] for _ in schema.split(",")]
-                fields = [f.strip().split(" ") for f in schema.split(",")]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], [name for name, _ in fields])
+                columns = list(zip(*found, strict=True)) if found else [[] for _ in names]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in columns], names)
 
         part = rows.mapInArrow(run, schema)
         result = part if result is None else result.unionByName(part)
@@ -132,7 +157,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, passage_words: int = PA
     """
 
     def emit(index: PassageIndex, doc: int, text: str):
-        return [(doc, item) for item in sorted({item for _, item, _ in index.hits(text)})]
+        return [(doc, item) for item in sorted({item for item, _, _ in index.hits(text)})]
 
     return _scan(documents, items, "doc_id long, item_id long", emit, passage_words, items_per_block)
 

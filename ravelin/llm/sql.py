@@ -27,6 +27,8 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id)"""
 _SIMILAR = """both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
 links AS (SELECT a, b FROM both_ JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c * 100 >= (x.n + y.n - c) * 70)"""
 
+_PLACED_GRAMS = _GRAMS.replace("SELECT DISTINCT id, ", "SELECT id, i, ")
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -59,4 +61,17 @@ SELECT doc_id, class_id, copies, coalesce(n, 0)::BIGINT AS links FROM members LE
         "p7_found": f"""WITH d AS (SELECT doc_id AS id, text FROM documents), e AS (SELECT item_id AS id, text FROM eval_items),
 dg AS (WITH {_GRAMS % "d"} SELECT * FROM grams), eg AS (WITH {_GRAMS % "e"} SELECT * FROM grams)
 SELECT DISTINCT dg.id AS doc_id, eg.id AS item_id FROM dg JOIN eg USING (gram)""",
+        "p7_spans": f"""WITH blank AS (
+  SELECT doc_id, string_split(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}]', ' ', 'g'), ' ') AS ws FROM documents WHERE text IS NOT NULL),
+pieces AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS place FROM blank),
+placed AS (SELECT doc_id, w, place, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY place) - length(w) - 1 AS first FROM pieces),
+words AS (SELECT doc_id, first, first + length(w) AS last, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS i FROM placed WHERE w <> ''),
+d AS (SELECT doc_id AS id, text FROM documents), e AS (SELECT item_id AS id, text FROM eval_items),
+dg AS (WITH {_PLACED_GRAMS % "d"} SELECT * FROM grams), eg AS (WITH {_PLACED_GRAMS % "e"} SELECT * FROM grams),
+met AS (SELECT DISTINCT dg.id AS doc_id, eg.id AS item_id, dg.i, dg.i - eg.i AS shift FROM dg JOIN eg USING (gram)),
+runs AS (
+  SELECT doc_id, item_id, min(i) AS a, max(i) + 11 AS z FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, shift ORDER BY i) AS run FROM met) GROUP BY doc_id, item_id, shift, run)
+SELECT DISTINCT doc_id, item_id, x.first::BIGINT AS "begin", y.last::BIGINT AS "end", (z - a + 1)::BIGINT AS words
+FROM runs JOIN words x USING (doc_id) JOIN words y USING (doc_id) WHERE x.i = a AND y.i = z""",
     }

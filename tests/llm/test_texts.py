@@ -131,6 +131,28 @@ def test_leaks_of_empty_tables(spark):
     assert leaked_items(d.limit(0), i).count() == leaked_items(d, i.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 12])
+def test_runs_are_the_longest_common_ones(n):
+    r = random.Random(n)
+    for _ in range(150):
+        items = [(i, [r.choice("abc") for _ in range(r.randrange(0, 30))]) for i in range(3)]
+        text = [r.choice("abcx") for _ in range(r.randrange(0, 40))]
+        if items[0][1]:
+            text += items[0][1][r.randrange(len(items[0][1])) :]
+        want = set()
+        for i, w in items:
+            for a in range(len(text)):
+                for b in range(len(w)):
+                    if text[a] == w[b] and (a == 0 or b == 0 or text[a - 1] != w[b - 1]):
+                        k = 0
+                        while a + k < len(text) and b + k < len(w) and text[a + k] == w[b + k]:
+                            k += 1
+                        if k >= n:
+                            want.add((i, a, a + k - 1))
+        index = PassageIndex([(i, " ".join(w)) for i, w in items], n)
+        assert index.hits(" ".join(text)) == sorted(want)
+
+
 def test_passages_without_words():
     assert PassageIndex([(1, None), (2, "few words")]).hits("anything at all") == []
     assert lower_in_place("İΣA") == "iσa"
