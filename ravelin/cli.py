@@ -7,9 +7,10 @@ import logging
 import sys
 import time
 from collections.abc import Sequence
+from functools import partial
 
 from ravelin.app import SearchApp, search_with_fallback
-from ravelin.operators.crawl import CrawlConfig, crawl, pages_to_index
+from ravelin.operators.crawl import CrawlConfig, DeadlineExceeded, crawl, pages_to_index
 from ravelin.operators.indexer import IndexTables, build_index, index_counts, outcomes
 from ravelin.operators.parsing import QueryError
 from ravelin.schemas import WEB
@@ -71,6 +72,8 @@ def main(argv: Sequence[str] | None = None, get=None) -> int:
     parser.add_argument("--live", action="store_true", help="crawl over the network instead of --web")
     parser.add_argument("--seed", help="page to start from, instead of asking for one")
     args = parser.parse_args(argv)
+    logging.basicConfig(stream=sys.stderr, format="%(asctime)s %(message)s")
+    log.setLevel(logging.INFO)
     spark = build_session()
     until = time.time() + DEADLINE_SECONDS
 
@@ -91,7 +94,12 @@ def main(argv: Sequence[str] | None = None, get=None) -> int:
         if not args.web and not args.live:
             raise SeedError("there are no pages to crawl: give --web or --live")
         config = CrawlConfig(seed(strict), deadline_seconds=max(0.0, until - time.time()))
-        result = crawl(spark, live_web if args.live else spark.read.schema(WEB).parquet(args.web), config)
+        web = partial(live_web, until=until) if args.live else spark.read.schema(WEB).parquet(args.web)
+        try:
+            result = crawl(spark, web, config)
+        except DeadlineExceeded as e:
+            log.error("crawl failed: %s", e.result.stats.first().asDict())
+            raise
         pages = pages_to_index(result)
         log.info("crawl: %s", result.stats.first().asDict())
         log.info("index: %s", {r["status"]: r["pages"] for r in index_counts(outcomes(pages)).collect()})

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
-from urllib.parse import urljoin, urlsplit, urlunsplit
+from urllib.parse import quote, unquote_to_bytes, urljoin, urlsplit, urlunsplit
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,12 +22,33 @@ class LinkPolicy:
         return f"https://{self.host}{self.prefix}"
 
 
+#: Parts of a reference: scheme, host, path, query, fragment.
+_REFERENCE = re.compile(r"(?s)(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?")
+_BAD_ESCAPE = re.compile(r"%(?![0-9A-Fa-f]{2})")
+_AS_IT_STANDS = re.compile(r"[A-Za-z0-9\-._~!$&'()*+,;=:@\[\]/%]*")
+
+
+def encoded_path(path: str) -> str:
+    """A path as an address writes it: as it stands if all its characters may, else decoded and encoded anew."""
+    if _AS_IT_STANDS.fullmatch(path):
+        return path
+    return quote(unquote_to_bytes(path), safe="$&+,/:;=@")
+
+
 def resolve_link(href: str | None, base: str, policy: LinkPolicy) -> str:
-    """The absolute address of ``href`` on page ``base`` without fragment and query; empty if it can't be an article."""
-    if not href:
+    """The absolute address of ``href`` on page ``base`` without fragment and query; empty if it can't be an article.
+
+    Characters that can't stand in a path are encoded, so one article has one address. References with control characters,
+    with broken escapes in path or fragment, or with a scheme but no host are refused.
+    """
+    if not href or any(c < " " or c == "\x7f" for c in href):
+        return ""
+    scheme, host, path, _, fragment = _REFERENCE.fullmatch(href).groups()
+    if _BAD_ESCAPE.search(path) or _BAD_ESCAPE.search(fragment or "") or (scheme is not None and host is None):
         return ""
+    reference = (f"{scheme}:" if scheme else "") + (f"//{host}" if host is not None else "") + encoded_path(path)
     try:
-        parts = urlsplit(urljoin(base, href))
+        parts = urlsplit(urljoin(base, reference))
     except ValueError:
         return ""
     if parts.scheme not in ("http", "https") or parts.netloc != policy.host or not parts.path.startswith(policy.prefix):

@@ -111,6 +111,7 @@ def crawl(spark: SparkSession, web: DataFrame | Callable[[DataFrame], DataFrame]
 
     Each level is one plan: fetch, extract, explode links, keep the first unseen of each.
 
+    The deadline is looked at before each level and, where pages come from a function that stops asking at it, within one.
     ``max_depth`` + 1 levels at most, each of at most ``max_pages`` pages; what a level found is written to the checkpoint
     folder before the next begins. The seed enters the seen set as it is given. Links of failed pages aren't followed.
     """
@@ -124,13 +125,16 @@ def crawl(spark: SparkSession, web: DataFrame | Callable[[DataFrame], DataFrame]
             late = True
             break
         batch = admitted(queue, pages_left, config.max_depth).repartition(config.workers)
-        responses = web(batch.select("url")) if callable(web) else web
-        got = fetched(batch, responses, config.max_bytes_per_page)
+        responses = cut_lineage(web(batch.select("url"))) if callable(web) else web  # each page is asked for once
+        got = fetched(batch, responses, config.max_bytes_per_page, few=True)
+        late = config.deadline_seconds is not None and time.time() - started > config.deadline_seconds
+        if late and callable(web):  # what wasn't asked for any more wasn't scheduled
+            got = got.join(F.broadcast(responses.select("url").distinct()), "url", "left_semi")
         level = cut_lineage(extract(within_bytes(got, bytes_left), config.policy).drop("html", "slot"))
         pages = level if pages is None else pages.unionByName(level)
         taken = level.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("err").isNull(), F.col("bytes"))), F.lit(0)).alias("b")).first()
         pages_left, bytes_left = pages_left - taken["n"], bytes_left - taken["b"]
-        if depth == config.max_depth or pages_left <= 0 or bytes_left <= 0:
+        if late or depth == config.max_depth or pages_left <= 0 or bytes_left <= 0:
             break
         links = level.filter(F.col("err").isNull()).select(F.col("ord").alias("_parent"), F.posexplode("links").alias("_place", "url"))
         found = links.groupBy("url").agg(F.min(F.struct("_parent", "_place")).alias("_at")).join(visited, "url", "left_anti")

@@ -33,16 +33,24 @@ def join_states(rows: DataFrame, states: DataFrame, key: str, how: str = "inner"
     """Join ``rows`` with ``states``, which has at most one row per key, without gathering the rows of a hot key.
 
     Keys with at least ``hot_percent`` per cent of the rows (no more than 100 / ``hot_percent``) have their states
-    broadcast to where the rows are; the rest is shuffled and has no key above that share. ``how`` is ``inner`` or
-    ``left``; rows with a null key match nothing and aren't shuffled.
+    broadcast to where the rows are; the rest is shuffled and has no key above that share. Which keys these are is counted
+    first, and without any there is one plain join. ``rows`` should be stored, as it is read for the count and again.
+    ``how`` is ``inner`` or ``left``; rows with a null key match nothing.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")
-    hot = F.broadcast(hot_keys(rows, key, hot_percent).select(key))
-    with_key = rows.filter(F.col(key).isNotNull())
-    frequent = with_key.join(hot, key, "left_semi").join(F.broadcast(states.join(hot, key, "left_semi")), key, how)
-    others = with_key.join(hot, key, "left_anti").join(states.join(hot, key, "left_anti"), key, how)
-    result = frequent.unionByName(others)
+    if how == "inner":
+        rows = rows.filter(F.col(key).isNotNull())
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    total = rows.agg(F.count(F.lit(1)).alias("_all")).scalar()
+    frequent = counts.filter(F.col("_n") * 100 >= total * hot_percent).select(key).collect()
+    if not frequent:
+        return rows.join(states, key, how)
+    hot = F.broadcast(rows.sparkSession.createDataFrame([r for r in frequent if r[0] is not None], rows.select(key).schema))
+    known = rows.filter(F.col(key).isNotNull())
+    there = known.join(hot, key, "left_semi").join(F.broadcast(states.join(hot, key, "left_semi")), key, how)
+    others = known.join(hot, key, "left_anti").join(states, key, how)
+    result = there.unionByName(others)
     if how == "left":
         added = [f for f in states.schema.fields if f.name != key]
         result = result.unionByName(rows.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in added]))

@@ -150,9 +150,13 @@ def clean(text: str) -> str:
     return _SPACES.sub(" ", text).strip()
 
 
-def page_content(html: str | None) -> tuple[str, str]:
+def _tree(html: str | Node | None) -> Node:
+    return html if isinstance(html, Node) else parse_html(html or "")
+
+
+def page_content(html: str | Node | None) -> tuple[str, str]:
     """Title and article text. Paragraphs of ``MIN_PARAGRAPH`` characters or more, else the whole text of the article."""
-    tree = parse_html(html or "")
+    tree = _tree(html)
     title = next((n for n in tree.walk() if n.tag == "title"), None)
     title_text = clean(title.text()) if title else ""
     root = next((r for r in (_find(tree, path) for path in ROOTS) if r is not None), None)
@@ -176,10 +180,10 @@ def page_content(html: str | None) -> tuple[str, str]:
     return title_text, "\n\n".join(kept) if kept else clean(root.text(skip))
 
 
-def page_links(html: str | None, base: str, policy: LinkPolicy) -> list[str]:
+def page_links(html: str | Node | None, base: str, policy: LinkPolicy) -> list[str]:
     """Addresses of ``a`` elements in document order that can be articles, first appearances only; see ``is_article``."""
     links: dict[str, None] = {}
-    for node in parse_html(html or "").walk():
+    for node in _tree(html).walk():
         if node.tag == "a" and "href" in node.attrs:
             link = resolve_link(node.attrs["href"], base, policy)
             title = link.removeprefix(policy.root)
@@ -195,9 +199,11 @@ def extract(pages: DataFrame, policy: LinkPolicy | None = None) -> DataFrame:
 
     @F.pandas_udf("title string, body string, links array<string>")
     def parts(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        content = [page_content(h) for h in html]
-        links = [page_links(h, u or "", rules) for h, u in zip(html, url, strict=True)]
-        return pd.DataFrame({"title": [c[0] for c in content], "body": [c[1] for c in content], "links": links})
+        rows = []
+        for page, base in zip(html, url, strict=True):
+            tree = parse_html(page or "")
+            rows.append((*page_content(tree), page_links(tree, base or "", rules)))
+        return pd.DataFrame(rows, columns=["title", "body", "links"])
 
     found = pages.drop("title", "body", "links").withColumn("_parts", parts("html", "url"))
     return found.select("*", "_parts.*").drop("_parts")

@@ -3,11 +3,13 @@
 import json
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from ravelin.functions.urls import LinkPolicy, canonical_link, is_article, resolve_link
+from ravelin.operators import crawl as crawling
 from ravelin.operators.crawl import CrawlConfig, DeadlineExceeded, crawl, first_seen, pages_to_index, unseen
 from ravelin.schemas import WEB
 from ravelin.sources.html import extract, page_content, page_links
@@ -195,3 +197,62 @@ def test_live_fetch(spark):
     assert got["lost"] == (404, None, "status 404")
     assert got["bare"] == (200, None, "no content type")
     assert got["http://127.0.0.1:1/x"][2] == got["no url"][2] == "status unknown"
+
+
+@pytest.mark.parametrize(
+    ("href", "want"),
+    [
+        ("/wiki/Café", "Caf%C3%A9"), ("/wiki/Caf%C3%A9", "Caf%C3%A9"), ("/wiki/A B", "A%20B"), ("/wiki/A_(x)", "A_(x)"), ("/wiki/é_(x)%2F'", "%C3%A9_%28x%29/%27"),
+        ("Ü?q=%zz", "%C3%9C"), ("/wiki/A~b;c=d", "A~b;c=d"),
+    ],
+)
+def test_links_are_encoded(href, want):
+    assert resolve_link(href, W + "Base", P) == W + want
+
+
+@pytest.mark.parametrize("href", ["/wiki/A%zzB", "/wiki/100%", "/wiki/A#%", "/wiki/A\nB", "\t/wiki/A", "https:/wiki/A", "https:A", "/wiki/A\x7f"])
+def test_links_that_are_no_references(href):
+    assert resolve_link(href, W + "Base", P) == ""
+
+
+def test_live_fetch_of_faulty_answers(spark):
+    class Broken(BaseHTTPRequestHandler):
+        def do_GET(self):
+            if "bad" in self.path:
+                self.wfile.write(b"this is no status line\r\n\r\n")
+            else:
+                self.send_response(200)
+                self.send_header("Content-Type", "text/html")
+                self.send_header("Content-Length", "1000")
+                self.end_headers()
+                self.wfile.write(b"cut")
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Broken)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}/"
+    try:
+        urls = spark.createDataFrame([(base + p,) for p in ("bad", "short", "with space", "a\tb")], "url string")
+        got = {r.url.removeprefix(base): r.status for r in live_web(urls).collect()}
+        assert live_web(urls, until=0.0).count() == 0
+    finally:
+        server.shutdown()
+    assert got["bad"] is None and got["with space"] is None and got["a\tb"] is None
+    assert got.keys() == {"bad", "short", "with space", "a\tb"}
+
+
+def test_deadline_within_a_level(spark, monkeypatch):
+    now = [0.0]
+    monkeypatch.setattr(crawling, "time", SimpleNamespace(time=lambda: now[0]))
+
+    def web(urls):  # the second level comes too late for one of its two pages
+        rows = [(W + "S", 200, "text/html", '<a href="/wiki/1"><a href="/wiki/2">'), (W + "1", 200, "text/html", '<a href="/wiki/3">')]
+        now[0] += 10
+        return spark.createDataFrame(rows, WEB).join(urls, "url", "left_semi")
+
+    with pytest.raises(DeadlineExceeded) as late:
+        crawl(spark, web, CrawlConfig(W + "S", deadline_seconds=15))
+    assert names(late.value.result) == [("S", 0), ("1", 1)]
+    assert late.value.result.stats.first().scheduled == 2
