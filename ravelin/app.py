@@ -13,6 +13,8 @@ from ravelin.operators.parsing import EmptyQuery, EngineInit, InvalidTopK, parse
 from ravelin.operators.retrieval import bm25_scores, enrich, top_k
 
 DEFAULT_K = 10
+#: So many best ids come to the driver to filter the scan of documents; more are joined.
+MOST_COLLECTED = 1_000
 
 
 def search(index: IndexTables | None, raw: str, k: int = DEFAULT_K, k1: float = K1, b: float = B) -> DataFrame:
@@ -33,8 +35,8 @@ class SearchApp:
     def run(self, query: str, top_k: int = DEFAULT_K) -> DataFrame:
         """``rank``, ``doc_id``, ``score``, ``title``, ``url``, ``snippet``, best first.
 
-        The request is checked in this order: index, empty query, ``top_k``, then the query itself. The ``top_k`` ids come
-        to the driver, so that the scan of the documents is filtered by them.
+        The request is checked in this order: index, empty query, ``top_k``, then the query itself. Up to ``MOST_COLLECTED``
+        ids come to the driver, so that the scan of the documents is filtered by them; more are joined with the documents.
         """
         if self.index is None:
             raise EngineInit("there is no index")
@@ -43,6 +45,8 @@ class SearchApp:
         if top_k <= 0:
             raise InvalidTopK("top_k must be positive")
         documents = self.index.documents
+        if top_k > MOST_COLLECTED:
+            return enrich(search(self.index, query, top_k), documents, few=False)
         best = [(r["doc_id"], r["score"]) for r in search(self.index, query, top_k).collect()]
         rows = documents.sparkSession.createDataFrame(best, "doc_id long, score double")
         return enrich(rows, documents.filter(F.col("doc_id").isin([d for d, _ in best])))

@@ -14,28 +14,44 @@ from pyspark.sql import functions as F
 
 from ravelin.functions.text import normalize_text, stem, trim_spaces
 from ravelin.operators.skew import join_states
-from ravelin.session import cut_lineage
+from ravelin.session import cut_lineage, written
 
 ADDED, DUPLICATE, ERR_URL, ERR_BODY, ERR_TOKENS = "added", "duplicate", "err_url", "err_body", "err_tokens"
-#: Ids are counted in blocks of so many values of ``ord``: the most rows that one task numbers.
+#: Ids are counted in blocks of about so many rows.
 ID_BLOCK = 65_536
 
 
 @dataclass(frozen=True)
 class IndexTables:
-    """``documents``, ``terms`` and the one-row ``stats`` of an index."""
+    """``documents``, ``terms`` and the one-row ``stats`` of an index; ``weighted`` is ``terms`` with ``dl``, the length of the document."""
 
     documents: DataFrame
     terms: DataFrame
     stats: DataFrame
+    weighted: DataFrame | None = None
+
+    def postings(self) -> DataFrame:
+        """``term``, ``doc_id``, ``freq``, ``dl``; built and saved indexes have it without a join."""
+        if self.weighted is not None:
+            return self.weighted
+        return self.terms.join(self.documents.select("doc_id", F.col("length").alias("dl")), "doc_id").select("term", "doc_id", "freq", "dl")
+
+    def totals(self) -> DataFrame:
+        """One row: ``total_docs``, ``avg_doc_len``, from ``stats``; no document is looked at."""
+        average = F.when(F.col("total_docs") > 0, F.col("total_doc_len").cast("double") / F.col("total_docs")).otherwise(F.lit(0.0))
+        return self.stats.select("total_docs", average.alias("avg_doc_len"))
 
 
 def dense_ids(rows: DataFrame, order: str, name: str, first: Column | int = 1) -> DataFrame:
     """Number the rows ``first``, ``first + 1``, ... by the unique integer column ``order``.
 
-    Rows are numbered within blocks of ``ID_BLOCK`` values; only the counts per block pass through one task.
+    Rows are numbered within blocks of equal ranges of ``order``, as wide as hold about ``ID_BLOCK`` rows; only the counts
+    per block pass through one task, one for each ``ID_BLOCK`` rows, however sparse the values are. ``rows`` should be
+    stored, as it is read several times.
     """
-    blocked = rows.withColumn("_block", F.floor(F.col(order) / ID_BLOCK))
+    seen = rows.agg(F.min(order).alias("a"), F.max(order).alias("z"), F.count(F.lit(1)).alias("n")).first()
+    width = max(ID_BLOCK, (seen["z"] - seen["a"]) * ID_BLOCK // seen["n"]) if seen["n"] else ID_BLOCK
+    blocked = rows.withColumn("_block", F.expr(f"`{order}` div {width}L - IF(`{order}` < 0, 1L, 0L)"))
     sizes = blocked.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("_block", F.coalesce(before, F.lit(0)).alias("_before"))
@@ -57,22 +73,19 @@ def _looked_at(pages: DataFrame) -> DataFrame:
     return prepare(pages).select("ord", "url", (F.col("body") != "").alias("_body"), has_words.alias("_words"))
 
 
-def added_pages(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """``url``, ``ord`` of the pages that are added: of each url the first with a body and a word, unless the index has it."""
-    sound = _looked_at(pages).filter((F.col("url") != "") & F.col("_body") & F.col("_words"))
+def _added(looked: DataFrame, existing: DataFrame | None) -> DataFrame:
+    sound = looked.filter((F.col("url") != "") & F.col("_body") & F.col("_words"))
     first = sound.groupBy("url").agg(F.min("ord").alias("ord"))
     return first if existing is None else first.join(existing.select("url"), "url", "left_anti")
 
 
-def outcomes(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-    """``ord``, ``url``, ``status`` of each page; ``existing`` has the ``url`` of documents that are already indexed.
+def added_pages(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``url``, ``ord`` of the pages that are added: of each url the first with a body and a word, unless the index has it."""
+    return _added(_looked_at(pages), existing)
 
-    In this order: an empty url or body is an error; a url that an earlier added page or the index has is a duplicate,
-    whatever its body; a body without words is an error and leaves its url free; everything else is added.
-    """
-    known = added_pages(pages, existing).select("url", F.col("ord").alias("_first"))
-    if existing is not None:
-        known = known.unionByName(existing.select("url", F.lit(-(2**63)).cast("long").alias("_first")).distinct())
+
+def _decided(looked: DataFrame, known: DataFrame) -> DataFrame:
+    """``looked`` with ``status`` and the columns of ``known``: ``url``, ``_first``, the place of the page that owns the url, and others."""
     status = (
         F.when(F.col("url") == "", ERR_URL)
         .when(~F.col("_body"), ERR_BODY)
@@ -80,16 +93,35 @@ def outcomes(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
         .when(~F.col("_words"), ERR_TOKENS)
         .otherwise(ADDED)
     )
-    return join_states(_looked_at(pages), known, "url", how="left").select("ord", "url", status.alias("status"))
+    return join_states(looked, known, "url", how="left").withColumn("status", status)
+
+
+def outcomes(pages: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``ord``, ``url``, ``status`` of each page; ``existing`` has the ``url`` of documents that are already indexed.
+
+    In this order: an empty url or body is an error; a url that an earlier added page or the index has is a duplicate,
+    whatever its body; a body without words is an error and leaves its url free; everything else is added. Bodies are read
+    once; what they tell, two flags, is written to the checkpoint folder with the urls.
+    """
+    looked = written(_looked_at(pages))
+    known = _added(looked, existing).select("url", F.col("ord").alias("_first"))
+    if existing is not None:
+        known = known.unionByName(existing.select("url", F.lit(-(2**63)).cast("long").alias("_first")).distinct())
+    return _decided(looked, known).select("ord", "url", "status")
 
 
 def outcome_ids(pages: DataFrame, existing: DataFrame | None = None, next_id: int = 1) -> DataFrame:
-    """``ord``, ``url``, ``doc_id``, ``status``: the outcome of each page; a duplicate has the id of the document it repeats."""
-    rows = outcomes(pages, existing)
-    added = dense_ids(added_pages(pages, existing), "ord", "doc_id", next_id).select("url", "doc_id")
-    known = added if existing is None else added.unionByName(existing.select("url", "doc_id"))
-    joined = join_states(rows, known, "url", how="left")
-    return joined.select("ord", "url", F.when(F.col("status").isin(ADDED, DUPLICATE), F.col("doc_id")).alias("doc_id"), "status")
+    """``ord``, ``url``, ``doc_id``, ``status``: the outcome of each page; a duplicate has the id of the document it repeats.
+
+    ``existing`` has ``url`` and ``doc_id``, each url once.
+    """
+    looked = written(_looked_at(pages))
+    added = written(_added(looked, existing))
+    known = dense_ids(added, "ord", "doc_id", next_id).select("url", F.col("ord").alias("_first"), "doc_id")
+    if existing is not None:
+        known = known.unionByName(existing.select("url", F.lit(-(2**63)).cast("long").alias("_first"), "doc_id"))
+    rows = _decided(looked, known)
+    return rows.select("ord", "url", F.when(F.col("status").isin(ADDED, DUPLICATE), F.col("doc_id")).alias("doc_id"), "status")
 
 
 def exploded_tokens(rows: DataFrame, key: str, norm: str = "norm") -> DataFrame:
@@ -126,12 +158,20 @@ def build_index(pages: DataFrame) -> IndexTables:
     return _index_of(pages, added_pages(pages), 1)
 
 
+def new_part(index: IndexTables, pages: DataFrame) -> IndexTables:
+    """Documents and terms of the pages whose urls the index doesn't have, ids from ``next_doc_id``; ``stats`` are of both together."""
+    old = index.stats.first()
+    new = _index_of(pages, added_pages(pages, index.documents), old["next_doc_id"])
+    plus = [F.col(c) + F.lit(old[c]) for c in ("total_docs", "total_doc_len")]
+    stats = new.stats.select("id", plus[0].alias("total_docs"), plus[1].alias("total_doc_len"), F.greatest("next_doc_id", F.lit(old["next_doc_id"])).alias("next_doc_id"))
+    return IndexTables(new.documents, new.terms, stats, new.weighted)
+
+
 def append(index: IndexTables, pages: DataFrame) -> IndexTables:
     """The index with further pages; urls that it has already are left out, ids go on from ``next_doc_id``."""
-    next_id = index.stats.select("next_doc_id").first()["next_doc_id"]
-    new = _index_of(pages, added_pages(pages, index.documents), next_id)
-    documents = index.documents.unionByName(new.documents)
-    return IndexTables(documents, index.terms.unionByName(new.terms), _stats(documents))
+    new = new_part(index, pages)
+    weighted = index.postings().unionByName(new.postings())
+    return IndexTables(index.documents.unionByName(new.documents), weighted.drop("dl"), new.stats, weighted)
 
 
 def _stats(documents: DataFrame) -> DataFrame:
@@ -148,12 +188,15 @@ def _index_of(pages: DataFrame, added: DataFrame, next_id: int) -> IndexTables:
 
     The ids, 16 bytes a document, are written to the checkpoint folder first, as all three tables begin with them.
     """
-    ids = cut_lineage(dense_ids(added.select("ord"), "ord", "doc_id", next_id))
+    ids = cut_lineage(dense_ids(written(added.select("ord")), "ord", "doc_id", next_id))
     numbered = prepare(pages).join(ids, "ord").withColumn("norm", normalize_text(F.col("body")))
-    documents = numbered.select(
-        "doc_id", "url", "title", "body", token_count(F.col("norm")).alias("length"), F.current_timestamp().alias("created_at")
-    )
-    return IndexTables(documents, term_frequencies(numbered.select("doc_id", "norm")), _stats(documents))
+    length = token_count(F.col("norm"))
+    documents = numbered.select("doc_id", "url", "title", "body", length.alias("length"), F.current_timestamp().alias("created_at"))
+    counted = numbered.select("doc_id", "norm", length.alias("dl")).filter("dl > 0")  # before the words part, so once per text
+    words = counted.select("doc_id", "dl", F.explode(F.split("norm", " ")).alias("word"))
+    terms = words.select("doc_id", "dl", stem(F.col("word")).alias("term"))
+    weighted = terms.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("freq")).select("term", "doc_id", "freq", "dl")
+    return IndexTables(documents, weighted.drop("dl"), _stats(documents), weighted)
 
 
 def index_counts(outcome: DataFrame) -> DataFrame:

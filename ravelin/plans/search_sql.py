@@ -159,7 +159,7 @@ scores AS (
 SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score
 FROM scores QUALIFY rank <= 10""",
         "snippets": _snippet(SNIPPET_BYTES),
-        "wrapped": f"""WITH s AS ({_snippet(300)}), {_LINES}, p AS (SELECT doc_id, wrapped, string_split(wrapped, chr(10)) AS ls FROM l)
+        "wrapped": f"""WITH s AS ({_snippet(SNIPPET_BYTES)}), {_LINES}, p AS (SELECT doc_id, wrapped, string_split(wrapped, chr(10)) AS ls FROM l)
 SELECT doc_id, wrapped, CASE WHEN len(ls) <= {q.LINES} THEN wrapped
   ELSE array_to_string(list_append(ls[: {q.LINES - 1}], trim(ls[{q.LINES}]) || '...'), chr(10)) END AS cut FROM p""",
         "index_roundtrip": f"WITH {_TERMS} SELECT term, doc_id, freq FROM terms_",
@@ -169,6 +169,8 @@ SELECT doc_id, wrapped, CASE WHEN len(ls) <= {q.LINES} THEN wrapped
         ),
         "extracted_links": f"""SELECT doc_id, place::INT AS place, '{q.WIKI.root}P' || ({q.FAN_OUT} * doc_id - {q.FAN_OUT - 2} + place) AS link
 FROM documents, range({q.FAN_OUT}) r(place)""",
+        "extracted_links_escaped": f"""SELECT doc_id, '{q.WIKI.root}' || CASE WHEN t = '' THEN 'P' ELSE url_encode(t) END AS link FROM (
+  SELECT doc_id, regexp_replace(coalesce(title, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') AS t FROM documents)""",
         "crawl_bfs": f"""WITH {_TREE} SELECT ord, '{q.WIKI.root}P' || n AS url, depth, (n % 7 <> 6 AND doc_id IS NOT NULL) AS ok
 FROM queue LEFT JOIN documents ON doc_id = n WHERE ord < {q.CRAWL_PAGES}""",
         "crawl_budget": f"""WITH {_TREE}, {_HTML}, got AS (

@@ -25,6 +25,8 @@ DOCUMENTS = _struct(
     ("created_at", TimestampType(), True),
 )
 TERMS = _struct(("term", StringType(), False), ("doc_id", LongType(), False), ("freq", LongType(), False))
+#: Terms as they are stored: with the length of the document, so that ranking needs no other table.
+POSTINGS = _struct(("term", StringType(), False), ("doc_id", LongType(), False), ("freq", LongType(), False), ("dl", LongType(), True))
 STATS = _struct(("id", IntegerType(), False), ("total_docs", LongType(), False), ("total_doc_len", LongType(), False), ("next_doc_id", LongType(), False))
 OUTCOMES = _struct(("ord", LongType(), False), ("url", StringType(), True), ("doc_id", LongType(), True), ("status", StringType(), False))
 WEB = _struct(("url", StringType(), False), ("status", IntegerType(), True), ("content_type", StringType(), True), ("html", StringType(), True))

@@ -1,4 +1,4 @@
-"""A saved index that grows with a stream of pages: every micro-batch is appended as a new version."""
+"""A saved index that grows with a stream of pages: every micro-batch becomes a part of it, and many parts are put together."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ravelin.operators.indexer import append, build_index
+from ravelin.operators.indexer import build_index, new_part
 from ravelin.schemas import PAGES_IN
-from ravelin.sources.store import load, save
+from ravelin.sources.store import MANY_PARTS, add, load, parts, save
 
 
 def landing_stream(spark: SparkSession, folder: str, max_files: int = 64) -> DataFrame:
@@ -26,12 +26,12 @@ def append_batch(path: str):
     def run(pages: DataFrame, batch_id: int) -> None:
         spark = pages.sparkSession
         index = load(spark, path)
-        fresh = build_index(pages) if index is None else append(index, pages)
-        if index is None and fresh.stats.first()["total_docs"] == 0:
-            return
-        if index is not None and fresh.stats.first()["next_doc_id"] == index.stats.first()["next_doc_id"]:
+        fresh = build_index(pages) if index is None else new_part(index, pages)
+        if fresh.stats.first()["next_doc_id"] == (1 if index is None else index.stats.first()["next_doc_id"]):
             return  # nothing new
-        save(fresh, path)
+        add(fresh, path)
+        if len(parts(spark, path)) >= MANY_PARTS:
+            save(load(spark, path), path)
 
     return run
 
