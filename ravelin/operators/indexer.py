@@ -192,7 +192,7 @@ def _index_of(pages: DataFrame, added: DataFrame, next_id: int) -> IndexTables:
     numbered = prepare(pages).join(ids, "ord").withColumn("norm", normalize_text(F.col("body")))
     length = token_count(F.col("norm"))
     documents = numbered.select("doc_id", "url", "title", "body", length.alias("length"), F.current_timestamp().alias("created_at"))
-    counted = numbered.select("doc_id", "norm", length.alias("dl")).filter("dl > 0")  # before the words part, so once per text
+    counted = numbered.select("doc_id", "norm", length.alias("dl"))  # before the words part, so once per text; each has a word
     words = counted.select("doc_id", "dl", F.explode(F.split("norm", " ")).alias("word"))
     terms = words.select("doc_id", "dl", stem(F.col("word")).alias("term"))
     weighted = terms.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("freq")).select("term", "doc_id", "freq", "dl")
