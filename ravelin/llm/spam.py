@@ -27,8 +27,6 @@ from ravelin.llm.structure import AUX, CLASSES, CLOSE, CONJ, DET, LINK, MID, MIX
 
 #: A document is a case if more than this share of its characters stands in spam segments.
 SPAM_SHARE = 0.5
-#: About so many rows of the table are the sample that the model is fitted on, besides the samples in the code.
-SAMPLE_ROWS = 4_000
 #: A segment is abnormal if a token surprises by so many bits more than one of prose does on average.
 EXCESS_BITS = 1.2
 #: Weights of each neighbour of a segment.
@@ -88,15 +86,12 @@ def sample_counts() -> np.ndarray:
     return trigrams(read_texts(PROSE.values()))
 
 
-def fit(documents: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> ProseModel:
-    """The model of the prose in about ``sample_rows`` rows of ``documents``, taken by a hash of ``doc_id``, and in the samples.
+def fit(documents: DataFrame, text: str = "text") -> ProseModel:
+    """The model of the prose in all rows of ``documents`` and in the samples of the code.
 
     Prose are the texts of which nine tenths are nearest to a profile of prose. Only the table of trigrams, whose size is fixed, comes
     to the driver. A table without prose gives the model of the samples.
     """
-    rows = max(documents.count(), 1)
-    share = 1_000_000
-    some = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(share)) < F.lit(int(share * min(1.0, sample_rows / rows)) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((_N + 1) * (_N + 1) * _N, np.int64)
@@ -107,7 +102,7 @@ def fit(documents: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["place", "n"])
 
-    counted = some.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "place long, n long")
+    counted = documents.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "place long, n long")
     counts = sample_counts().copy()
     for place, n in counted.groupBy("place").agg(F.sum("n").alias("n")).collect():
         counts[place] += n

@@ -310,6 +310,16 @@ def test_model_does_not_learn_from_spam(spark):
     np.testing.assert_array_equal(spam.fit(rows).bits, spam.ProseModel.of(spam.sample_counts()).bits)
 
 
+def test_model_is_of_all_rows(spark):
+    """Every row of prose counts, in a large table too, whatever its ``doc_id``."""
+    times = 1_000
+    rows = spark.createDataFrame([(i if i % 3 else None, t) for i, t in enumerate(PROSE * times)], "doc_id long, text string")
+    alone = [read_texts([t]) for t in PROSE]
+    assert all(spam.of_prose(batch).all() for batch in alone)
+    want = spam.sample_counts() + times * sum(spam.trigrams(batch) for batch in alone)
+    np.testing.assert_array_equal(spam.fit(rows).bits, spam.ProseModel.of(want).bits)
+
+
 def test_repeated_paragraphs_are_no_spam(spark):
     _, rows = shares(spark, [(ENGLISH + "\n") * 9, (GERMAN + "\n") * 9], "text", spam_share)
     assert spam_pages(spam_share(rows)).count() == 0
