@@ -23,12 +23,17 @@ ID_BLOCK = 65_536
 
 @dataclass(frozen=True)
 class IndexTables:
-    """``documents``, ``terms`` and the one-row ``stats`` of an index; ``weighted`` is ``terms`` with ``dl``, the length of the document."""
+    """``documents``, ``terms`` and the one-row ``stats`` of an index; ``weighted`` is ``terms`` with ``dl``, the length of the document.
+
+    Of an index that isn't saved yet, ``numbered`` has ``doc_id``, ``url``, ``title``, ``body``, and ``before`` the totals it goes on from.
+    """
 
     documents: DataFrame
     terms: DataFrame
     stats: DataFrame
     weighted: DataFrame | None = None
+    numbered: DataFrame | None = None
+    before: dict | None = None
 
     def postings(self) -> DataFrame:
         """``term``, ``doc_id``, ``freq``, ``dl``; built and saved indexes have it without a join."""
@@ -160,11 +165,8 @@ def build_index(pages: DataFrame) -> IndexTables:
 
 def new_part(index: IndexTables, pages: DataFrame) -> IndexTables:
     """Documents and terms of the pages whose urls the index doesn't have, ids from ``next_doc_id``; ``stats`` are of both together."""
-    old = index.stats.first()
-    new = _index_of(pages, added_pages(pages, index.documents), old["next_doc_id"])
-    plus = [F.col(c) + F.lit(old[c]) for c in ("total_docs", "total_doc_len")]
-    stats = new.stats.select("id", plus[0].alias("total_docs"), plus[1].alias("total_doc_len"), F.greatest("next_doc_id", F.lit(old["next_doc_id"])).alias("next_doc_id"))
-    return IndexTables(new.documents, new.terms, stats, new.weighted)
+    old = index.stats.first().asDict()
+    return _index_of(pages, added_pages(pages, index.documents), old["next_doc_id"], old)
 
 
 def append(index: IndexTables, pages: DataFrame) -> IndexTables:
@@ -174,29 +176,38 @@ def append(index: IndexTables, pages: DataFrame) -> IndexTables:
     return IndexTables(index.documents.unionByName(new.documents), weighted.drop("dl"), new.stats, weighted)
 
 
-def _stats(documents: DataFrame) -> DataFrame:
+def stats_of(documents: DataFrame, before: dict | None = None) -> DataFrame:
+    """One row: the totals of ``documents`` and of those in ``before`` together."""
+    old = before or {"total_docs": 0, "total_doc_len": 0, "next_doc_id": 1}
     return documents.agg(
         F.lit(1).alias("id"),
-        F.count(F.lit(1)).alias("total_docs"),
-        F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("total_doc_len"),
-        (F.coalesce(F.max("doc_id"), F.lit(0)) + 1).cast("long").alias("next_doc_id"),
+        (F.count(F.lit(1)) + F.lit(old["total_docs"])).cast("long").alias("total_docs"),
+        (F.coalesce(F.sum("length"), F.lit(0)) + F.lit(old["total_doc_len"])).cast("long").alias("total_doc_len"),
+        F.greatest(F.coalesce(F.max("doc_id"), F.lit(0)) + 1, F.lit(old["next_doc_id"])).cast("long").alias("next_doc_id"),
     )
 
 
-def _index_of(pages: DataFrame, added: DataFrame, next_id: int) -> IndexTables:
+def documents_of(numbered: DataFrame) -> DataFrame:
+    """The ``documents`` table of texts that have their ids."""
+    length = token_count(normalize_text(F.col("body")))
+    return numbered.select("doc_id", "url", "title", "body", length.alias("length"), F.current_timestamp().alias("created_at"))
+
+
+def _index_of(pages: DataFrame, added: DataFrame, next_id: int, before: dict | None = None) -> IndexTables:
     """Texts meet their ids in one join by ``ord``, the only place where they are shuffled.
 
-    The ids, 16 bytes a document, are written to the checkpoint folder first, as all three tables begin with them.
+    The ids, 16 bytes a document, are written to the checkpoint folder first, as all three tables begin with them. Words are
+    counted where that join leaves the texts; where ids are few enough to be broadcast, where the pages are placed by ``ord``.
     """
     ids = cut_lineage(dense_ids(written(added.select("ord")), "ord", "doc_id", next_id))
-    numbered = prepare(pages).join(ids, "ord").withColumn("norm", normalize_text(F.col("body")))
-    length = token_count(F.col("norm"))
-    documents = numbered.select("doc_id", "url", "title", "body", length.alias("length"), F.current_timestamp().alias("created_at"))
-    counted = numbered.select("doc_id", "norm", length.alias("dl"))  # before the words part, so once per text; each has a word
-    words = counted.select("doc_id", "dl", F.explode(F.split("norm", " ")).alias("word"))
-    terms = words.select("doc_id", "dl", stem(F.col("word")).alias("term"))
-    weighted = terms.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("freq")).select("term", "doc_id", "freq", "dl")
-    return IndexTables(documents, weighted.drop("dl"), _stats(documents), weighted)
+    numbered = prepare(pages).join(ids, "ord")
+    documents = documents_of(numbered)
+    normal = numbered.select("ord", "doc_id", normalize_text(F.col("body")).alias("norm"))
+    counted = normal.select("ord", "doc_id", "norm", token_count(F.col("norm")).alias("dl"))  # before the words part, so once per text; each has a word
+    words = counted.select("ord", "doc_id", "dl", F.explode(F.split("norm", " ")).alias("word"))
+    terms = words.select("ord", "doc_id", "dl", stem(F.col("word")).alias("term"))
+    weighted = terms.groupBy("term", "ord", "doc_id", "dl").agg(F.count(F.lit(1)).alias("freq")).select("term", "doc_id", "freq", "dl")
+    return IndexTables(documents, weighted.drop("dl"), stats_of(documents, before), weighted, numbered.drop("ord"), before)
 
 
 def index_counts(outcome: DataFrame) -> DataFrame:

@@ -14,8 +14,9 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ravelin.operators.indexer import IndexTables
+from ravelin.operators.indexer import IndexTables, documents_of, stats_of
 from ravelin.schemas import DOCUMENTS, POSTINGS, STATS
+from ravelin.session import shuffles_removed
 
 _POINTER = "_CURRENT"
 #: An index of so many parts should be saved whole again.
@@ -71,9 +72,25 @@ def _point(spark: SparkSession, path: str, pointer_to: dict) -> None:
 
 
 def _write(index: IndexTables, folder: str) -> None:
-    index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{folder}/documents")
-    index.postings().repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/terms")
-    index.stats.write.mode("overwrite").parquet(f"{folder}/stats")
+    """Ranges are found by running their input once before; of an index that isn't saved yet that is no counting of words.
+
+    Lengths are counted after texts are placed, postings are written once before they are, and the totals are those of the
+    documents written.
+    """
+    spark = index.documents.sparkSession
+    postings, stats, unsorted = index.postings(), index.stats, f"{folder}/unsorted"
+    with shuffles_removed(spark):
+        if index.numbered is None:
+            index.documents.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode("overwrite").parquet(f"{folder}/documents")
+        else:
+            documents_of(index.numbered.repartitionByRange("doc_id").sortWithinPartitions("doc_id")).write.mode("overwrite").parquet(f"{folder}/documents")
+            postings.write.mode("overwrite").parquet(unsorted)
+            postings = spark.read.schema(POSTINGS).parquet(unsorted)
+            stats = stats_of(spark.read.schema(DOCUMENTS).parquet(f"{folder}/documents"), index.before)
+        postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{folder}/terms")
+        stats.write.mode("overwrite").parquet(f"{folder}/stats")
+    _, where, files = _files(spark, unsorted)
+    files.delete(where, True)
 
 
 def _move(spark: SparkSession, path: str, version: int, of: list[int]) -> None:

@@ -6,6 +6,7 @@ import pytest
 
 from ravelin.operators import indexer, retrieval
 from ravelin.operators.parsing import parse_queries
+from ravelin.operators.skew import top_records
 from ravelin.schemas import PAGES_IN
 from ravelin.sources.store import add, load, parts, save
 
@@ -60,6 +61,45 @@ def test_blocks_of_queries(spark, stored, monkeypatch):
     assert sorted(map(tuple, retrieval.batch_search(index, parsed, 5).collect())) == whole
 
 
+def test_pairs_of_query_and_document_are_no_rows(spark, stored):
+    _, index = stored
+    parsed = parse_queries(spark.createDataFrame([(i, f"river {i} bridge") for i in range(30)], "qid long, raw string"))
+    best = retrieval.batch_search(index, parsed, 5)
+    assert best.count() == 150
+    text = plan(best)
+    assert not re.search(r"keys=\[qid#\d+L?, doc_id", text)
+    assert "MapInArrow" in text
+
+
+@pytest.mark.parametrize("k", [0, 1, 4, 1000])
+def test_best_of_a_batch_are_those_of_all_scores(spark, k):
+    def text(i):
+        return " ".join([*["the"] * (i % 5 + 1), *["river"] * (i % 3), *["bridge"] * (i % 7 == 0), *["old"] * (i % 11 % 4), *["town"] * (i % 13), f"w{i % 40}"])
+
+    index = indexer.build_index(spark.createDataFrame([(i, W + str(i), "t", text(i)) for i in range(300)], PAGES_IN))
+    asked = ["the", "the river", "bridge the", "old bridge of the river town", "w3", "w3 the w4 zzz", "zzz", "", "town old", "the the", *[f"w{i} the river" for i in range(25)]]
+    parsed = parse_queries(spark.createDataFrame([*enumerate(asked), (None, "river")], "qid long, raw string"))
+    order = lambda r: (r.qid is None, r.qid, r["rank"])
+    pairs = top_records(retrieval.batch_scores(index, parsed), "qid", "doc_id", "score", k).select("qid", "rank", "doc_id", "score")
+    got = sorted(retrieval.batch_search(index, parsed, k).collect(), key=order)
+    assert got == sorted(pairs.collect(), key=order)
+    assert bool(got) == bool(k)
+
+
+def test_words_are_counted_where_texts_are_placed(spark, stored, tmp_path):
+    pages, _ = stored
+    built = indexer.build_index(pages.repartition("ord"))
+    assert "hashpartitioning(term" not in plan(built.terms)
+    save(built, str(tmp_path / "index"))
+    assert sorted(p.name for p in (tmp_path / "index" / "v=1").iterdir()) == ["documents", "stats", "terms"]
+    index = load(spark, str(tmp_path / "index"))
+    for name in ("terms", "stats"):
+        rows = [sorted(map(tuple, getattr(x, name).collect())) for x in (index, built)]
+        assert rows[0] == rows[1]
+    assert index.documents.drop("created_at").exceptAll(built.documents.drop("created_at")).count() == 0
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
 def test_scores_of_batch_and_single_query_agree(spark, stored):
     _, index = stored
     parsed = parse_queries(spark.createDataFrame([(1, "river town 7 bridge")], "qid long, raw string"))
